@@ -46,12 +46,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL where it can express a query's rows.
