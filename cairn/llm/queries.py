@@ -58,6 +58,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.suffix import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 #: DuckDB SQL where it can express a query's rows.
