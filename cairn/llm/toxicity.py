@@ -11,8 +11,7 @@ apart makes the score a probability.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +91,10 @@ class Network:
             chars[some] = np.add.reduceat(self.p["grams"][buckets], (ends - many)[some], axis=0)
         return np.concatenate((self.p["words"][ids], chars), 1), (ids, buckets, many)
 
+    def table(self, words: list[str]) -> np.ndarray:
+        """Inputs of many words."""
+        return np.concatenate([self.inputs(words[i : i + 8192])[0] for i in range(0, len(words), 8192)])
+
     def run(self, inputs: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (steps, windows, HIDDEN); inputs: (steps, windows, 3 HIDDEN), already weighted."""
         steps, rows, _ = inputs.shape
@@ -181,54 +184,54 @@ def laid_out(slots: np.ndarray, first: np.ndarray, length: np.ndarray, blank: in
     return index, np.maximum(inside, (step == 0) & (length == 0)).astype(f32)
 
 
-def leaning(sets: list[set], toxic: np.ndarray) -> dict:
-    """How far each item leans to toxic documents, in standard errors; those that lean clearly."""
-    good, bad = Counter(), Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        (bad if y else good).update(s)
-    ratio = max(1, toxic.sum()) / max(1, (1 - toxic).sum())
-    z = {k: (n - good[k] * ratio) / np.sqrt(n + good[k] * ratio + 3) for k, n in bad.items() if n > 1}
-    return {k: v for k, v in z.items() if v > 1}
+def leaning(items: Iterable[np.ndarray], n: int, toxic: np.ndarray) -> np.ndarray:
+    """How far each of n items leans to toxic documents, in standard errors; items: those of each document, once each."""
+    count = np.zeros((2, n))
+    for i, y in zip(items, toxic, strict=True):
+        count[y, i] += 1
+    good, bad = count[0] * max(1, toxic.sum()) / max(1, (1 - toxic).sum()), count[1]
+    return np.where(bad > 1, (bad - good) / np.sqrt(bad + good + 3), 0)
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, rounds: int = 12, seed: int = 11) -> Network | None:
+def fit(texts: Iterable[list[str]], toxic: np.ndarray, rounds: int = 12, seed: int = 11) -> Network | None:
     """texts: the words of each. None if toxic has one value only."""
     if toxic.size < 2 or toxic.min() == toxic.max():
         return None
     rng = np.random.default_rng(seed)
-    every = sorted({w for t in texts for w in t})
-    number = {w: i for i, w in enumerate(every)}
-    of_text = [np.array([number[w] for w in t], np.int64) for t in texts]
-    apart = np.arange(len(texts)) % 5 == 0
+    number: dict[str, int] = {}
+    of_text = [np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in texts]
+    every = list(number)
+    apart = np.arange(len(of_text)) % 5 == 0
     if toxic[apart].min(initial=1) == toxic[apart].max(initial=0) or toxic[~apart].min() == toxic[~apart].max():
         apart[:] = False
-    by_word = leaning([set(t) for t, a in zip(texts, apart, strict=True) if not a], toxic[~apart])
-    chosen = sorted(by_word, key=lambda w: (-by_word[w], w))[:VOCABULARY]
-    vocabulary = {w: i + 1 for i, w in enumerate(chosen)}
+    learnt = [np.unique(t) for t, a in zip(of_text, apart, strict=True) if not a]
+    by_word = leaning(learnt, len(every), toxic[~apart])
+    clear = np.flatnonzero(by_word > 1)
+    clear = clear[np.argsort(-by_word[clear], kind="stable")][:VOCABULARY]
+    vocabulary = {every[w]: i + 1 for i, w in enumerate(clear.tolist())}
     buckets, many = grams_of(every)
-    ends = np.cumsum(many)
-    by_gram = leaning([set(np.unique(np.concatenate([buckets[ends[i] - many[i] : ends[i]] for i in set(o.tolist())] or [buckets[:0]])).tolist()) for o, a in zip(of_text, apart, strict=True) if not a], toxic[~apart])
+    buckets, ends = buckets.astype(np.int32), np.cumsum(many)
+    grams_in = lambda t: np.unique(np.concatenate([buckets[ends[i] - many[i] : ends[i]] for i in t.tolist()] or [buckets[:0]]))
+    by_gram = leaning(map(grams_in, learnt), 1 << GRAM_BITS, toxic[~apart])
+    del buckets, ends, many, learnt, number
     p = {"words": rng.normal(0, 0.02, (VOCABULARY + 1, DIM)).astype(f32), "grams": rng.normal(0, 0.005, (1 << GRAM_BITS, DIM)).astype(f32)}
     p["words"][0] = 0
     p["words"][:, 0], p["grams"][:, 0] = 0, 0
-    for w, i in vocabulary.items():
-        p["words"][i, 0] = min(by_word[w], 8) / 4
-    for b, z in by_gram.items():
-        if z > 2:
-            p["grams"][b, 0] = min(z, 8) / 12
+    p["words"][1 : clear.size + 1, 0] = np.minimum(by_word[clear], 8) / 4
+    p["grams"][:, 0] = np.where(by_gram > 2, np.minimum(by_gram, 8) / 12, 0)
     for w in "fb":
         p["w" + w] = rng.normal(0, 0.4, (2 * DIM, 3 * HIDDEN)).astype(f32)
         p["u" + w] = rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)).astype(f32)
         p["b" + w] = np.zeros(3 * HIDDEN, f32)
     p["att"], p["out"], p["bias"] = rng.normal(0, 0.3, 2 * HIDDEN).astype(f32), rng.normal(0, 0.3, 2 * HIDDEN).astype(f32), np.zeros(1, f32)
     net = Network(vocabulary, p)
-    slots = np.concatenate([*of_text, np.empty(0, np.int64)])
-    owner, first, length = windows_of([len(t) for t in texts])
+    slots = np.concatenate([*of_text, np.empty(0, np.int32)])
+    owner, first, length = windows_of([len(t) for t in of_text])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     share = np.clip(toxic[~apart].mean(), 0.02, 0.98)
     importance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)).astype(f32)
     turns = 0
-    x, (ids, _, _) = net.inputs([*every, ""])
+    x = net.table([*every, ""])
     worst = x[:, 0] + x[:, DIM]  # at first, the windows that lean most
     score = np.array([worst[slots[a : a + n]].max(initial=0) for a, n in zip(first, length, strict=True)])
     rate, batch = 0.02, 64
@@ -263,9 +266,9 @@ def fit(texts: list[list[str]], toxic: np.ndarray, rounds: int = 12, seed: int =
                 s += f32(0.01) * v * v
                 own = now * (0.15 if k in ("words", "grams") else 0.5)
                 p[k] -= (f32(own / (1 - 0.9**turns)) * m / (np.sqrt(s / f32(1 - 0.99**turns)) + f32(1e-5))).astype(f32)
-        x, _ = net.inputs([*every, ""])
+        x = net.table([*every, ""])
     score = all_logits(net, x, slots, first, length)
-    worst = np.full(len(texts), -np.inf)
+    worst = np.full(len(of_text), -np.inf)
     np.maximum.at(worst, owner, score)
     calibrate(net, worst[apart] if apart.any() else worst, toxic[apart] if apart.any() else toxic, share)
     return net
@@ -376,7 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
 
     found = rows.mapInArrow(run, "doc_id string, label int, words string").collect()
     found.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
-    return fit([r["words"].split() for r in found], np.array([r["label"] for r in found], np.int64)) if found else None
+    return fit((r["words"].split() for r in found), np.array([r["label"] for r in found], np.int64)) if found else None
 
 
 def hash_of(key: str) -> int:
