@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import table
+from cairn.llm.licenses import oracle
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +23,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.licenses import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.html import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.token_counts import token_counts
 
@@ -66,7 +79,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
@@ -76,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express a query's rows.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": oracle()}
