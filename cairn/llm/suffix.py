@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cairn.llm.common import durable, fresh, small_batches
 from cairn.llm.features import mixed
@@ -376,8 +377,8 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int) -> Da
     return sent.groupBy("bucket").applyInArrow(meet, "block bigint, data binary")
 
 
-def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, text_too: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text); with text_too the rest as `rest` (binary), and the row's hash as `text_hash`.
+def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text); with whole_rows also `row`, all columns of docs but text, and `rest`, the bytes that stay.
 
     Every byte is removed that a string of `width` bytes covers which also starts
     earlier: in a document with a smaller id, or in the same one. Strings are
@@ -387,10 +388,13 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, text_too: bool
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    others = [c for c in docs.columns if c != "text"]
+    full = docs.select("doc_id", text, F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    texts = full.select("doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    texts = placed(texts, blocks)
+    texts, full = placed(texts, blocks), placed(full, blocks)
     known = durable(repeated_hashes(texts, buckets, width, gram))
 
     def hashes(side: pa.Table) -> np.ndarray:
@@ -426,7 +430,8 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, text_too: bool
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in fields})
+            none = pa.table({n: pa.array([], t) for n, t in fields})
+            return none.append_column("rest", pa.array([], pa.binary())).append_column("row", left["row"]) if whole_rows else none
         block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
         runs, strings, of = block.strings(hashes(right)) if right.num_rows else (np.empty(0, np.int64), [], np.empty(0, np.int64))
         kind, bits = np.ones(len(strings), np.uint8), {}
@@ -467,17 +472,43 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, text_too: bool
                 removed, many = int((stops - starts).sum()), int(starts.size)
                 edges = [0, *np.column_stack((starts, stops)).reshape(-1).tolist(), len(data)]
                 rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            rows.append((block.ids[d], len(data), removed, many, hashlib.sha256(rest).hexdigest(), hashlib.sha256(data).hexdigest(), rest) if text_too else (block.ids[d], len(data), removed, many, hashlib.sha256(rest).hexdigest()))
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(fields)})
+            rows.append((block.ids[d], len(data), removed, many, hashlib.sha256(rest).hexdigest(), rest))
+        out = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(fields)})
+        if whole_rows:
+            out = out.append_column("rest", pa.array([r[-1] for r in rows], pa.binary())).append_column("row", left["row"].take(pa.array(block.order)))
+        return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [("doc_id", pa.int64() if kind == "bigint" else pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    if text_too:
-        fields += [("text_sha256", pa.string()), ("rest", pa.binary())]
-        schema += ", text_sha256 string, rest binary"
+    out = StructType.fromDDL(schema)
+    if whole_rows:
+        out = out.add("rest", "binary").add("row", full.schema["row"].dataType)
     grouped = texts.groupBy("block")
     replies = known.select("block", F.lit(None).cast("bigint").alias("bucket"), "data")
     asked = grouped.cogroup(replies.groupBy("block")).applyInArrow(ask, "bucket bigint, block bigint, data binary")
     answers = durable(asked.groupBy("bucket").applyInArrow(lambda group: resolve(group, width), "block bigint, bucket bigint, data binary"))
-    return grouped.cogroup(replies.unionByName(answers).groupBy("block")).applyInArrow(cut, schema)
+    kept = full if whole_rows else texts
+    return kept.groupBy("block").cogroup(replies.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
+
+
+def cut_out(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
+    """docs, each text without its repeated bytes, and n_chars (if there is one) of what is left.
+
+    A character of which a byte goes is gone. A text that was null stays so; all rows stay.
+    """
+    was_null = fresh(docs, "text_was_null")[0]
+    got = removals(docs.withColumn(was_null, F.col("text").isNull()), width, gram, whole_rows=True)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "rest"])
+
+    schema = StructType([got.schema["row"], StructField("rest", StringType())])
+    got = got.select("row", "rest").mapInArrow(decode, schema)
+    text = F.when(~F.col("row")[was_null], F.col("rest"))
+    values = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return got.select(*[values[c].alias(c) for c in docs.columns])

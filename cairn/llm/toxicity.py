@@ -388,6 +388,48 @@ def hash_of(key: str) -> int:
     return zlib.crc32(key.encode())
 
 
+def shipped(docs: DataFrame, net: Network):
+    return docs.sparkSession.sparkContext.broadcast((net.vocabulary, {k: v.astype(np.float32) for k, v in net.p.items()}, net.scale, net.shift))
+
+
+def unpacked(sent) -> Scorer:
+    vocabulary, p, scale, shift = sent.value
+    net = Network(vocabulary, p)
+    net.scale, net.shift = scale, shift
+    return Scorer(net)
+
+
+def scores_of(scorer: Scorer, column) -> np.ndarray:
+    """The scores of a column of texts, by parts of bounded size; nulls are empty."""
+    scores, texts, chars = [np.empty(0)], [], 0
+    for cell in column:
+        text = cell.as_py() or ""
+        texts.append(text)
+        chars += len(text)
+        if chars > 600_000:
+            scores.append(scorer.scores(texts))
+            texts, chars = [], 0
+    if texts:
+        scores.append(scorer.scores(texts))
+    return np.concatenate(scores)
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under threshold; all where the labels have one value only."""
+    small_batches(docs.sparkSession)
+    net = train(docs, labels, sample)
+    if net is None:
+        return docs
+    sent, at = shipped(docs, net), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = unpacked(sent)
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(scorer, batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text), learnt from labels (doc_id, toxic).
 
@@ -403,25 +445,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
     made = docs.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     if net is None:
         return made.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shipped = docs.sparkSession.sparkContext.broadcast((net.vocabulary, {k: v.astype(np.float32) for k, v in net.p.items()}, net.scale, net.shift))
+    sent = shipped(docs, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, p, scale, shift = shipped.value
-        here = Network(vocabulary, p)
-        here.scale, here.shift = scale, shift
-        scorer = Scorer(here)
+        scorer = unpacked(sent)
         for batch in batches:
-            scores, texts, chars = [], [], 0
-            for cell in batch.column(2):
-                text = cell.as_py() or ""
-                texts.append(text)
-                chars += len(text)
-                if chars > 600_000:
-                    scores.append(scorer.scores(texts))
-                    texts, chars = [], 0
-            if texts:
-                scores.append(scorer.scores(texts))
-            score = np.concatenate([*scores, np.empty(0)])
+            score = scores_of(scorer, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return made.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
