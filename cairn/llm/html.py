@@ -121,7 +121,9 @@ class Builder(HTMLParser):
                 del self.open[i:]
                 return
             if self.open[i].tag in scope:
-                return
+                break
+        if tag == "p":  # the end of no paragraph is an empty one
+            self.open[-1].children.append(Node("p"))
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
