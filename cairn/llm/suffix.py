@@ -16,6 +16,9 @@ passes, of which texts take part in three:
 4. blocks mark what is covered, and cut it out.
 
 A block's request is answered in its order, so what is sent back is a few bits for a string.
+Blocks and buckets grow in number with the input, not in size: a block sends each distinct string
+once, and an anchor that is met too often (a passage that many documents share, each with a text of its own
+around it) is dealt out again, window by window, by the hash of each window.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from cairn.llm.common import durable, fresh, small_batches
 from cairn.llm.features import mixed
 
 GRAM = 32
+HOT_USES = 50_000
 BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 1 << 20
 #: Bits of a key that hold a gram's place, and symbols (of 9 bits) that fit in a word.
 PLACES, WORD = 1 << 24, 7
@@ -105,7 +109,7 @@ def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, at = text.size, np.arange(text.size)
     left = np.repeat(ends, sizes) - at  # bytes before the end symbol
     key = text.copy()
-    for i in range(1, WORD):
+    for i in range(1, min(WORD, n)):
         key <<= 9
         key[: n - i] |= np.where(left[: n - i] >= i, text[i:], 0)
     order, rank = ranked(key)
@@ -260,14 +264,47 @@ class Block:
         self.doc = np.repeat(np.arange(len(runs)), [r[0].size for r in runs])
         self.hash, self.start, self.stop, self.place = (np.concatenate([r[i] for r in runs] or [np.empty(0, d)]) for i, d in enumerate((np.uint64, np.int64, np.int64, np.int64)))
 
-    def strings(self, repeated: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Runs whose anchor is repeated; the distinct strings among them; and for each of these runs its string, by number of first occurrence."""
+    def pieces(self, repeated: np.ndarray, hot: np.ndarray) -> "Pieces":
+        """What is sent of the block: runs whose anchor is repeated; those of a hot anchor window by window."""
         runs = np.flatnonzero(np.isin(self.hash, repeated))
+        doc, start, stop, key, place = (x[runs] for x in (self.doc, self.start, self.stop, self.hash, self.place))
+        wide = np.isin(key, hot)
+        if wide.any():
+            many = np.where(wide, stop - start, 1)
+            which = np.repeat(np.arange(runs.size), many)
+            step = np.arange(which.size) - np.repeat(np.cumsum(many) - many, many)
+            wide = wide[which]
+            doc, start, key, place = doc[which], start[which] + step, key[which], place[which]
+            stop = np.where(wide, start + 1, stop[which])
+            place = np.where(wide, start, place)
+        return Pieces(self, doc, start, stop, key, place, wide)
+
+
+class Pieces:
+    """Runs, or single windows, of a block, and the distinct strings among them, each with the piece where it comes first.
+
+    A string of a run goes to the bucket of its anchor. Where an anchor is hot, strings that hold it may
+    all be different, so each window goes to the bucket of its own hash.
+    """
+
+    def __init__(self, block: Block, doc, start, stop, key, place, wide):
+        self.doc, self.start, self.stop, self.place = doc, start, stop, place
         number: dict[bytes, int] = {}
-        of = np.empty(runs.size, np.int64)
-        for i, (d, a, b) in enumerate(zip(self.doc[runs].tolist(), self.start[runs].tolist(), self.stop[runs].tolist(), strict=True)):
-            of[i] = number.setdefault(self.texts[d][a : b + self.width - 1], len(number))
-        return runs, list(number), of
+        self.of = np.empty(doc.size, np.int64)
+        for i, (d, a, b) in enumerate(zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True)):
+            self.of[i] = number.setdefault(block.texts[d][a : b + block.width - 1], len(number))
+        self.strings = list(number)
+        self.lead = np.full(len(self.strings), -1)
+        self.lead[self.of[::-1]] = np.arange(doc.size)[::-1]
+        self.key = key[self.lead]
+        for i in np.flatnonzero(wide[self.lead]).tolist():
+            self.key[i] = int.from_bytes(hashlib.blake2b(self.strings[i], digest_size=8).digest(), "little")
+
+    def routed(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The strings in the order in which they are sent, and their buckets."""
+        to = (self.key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return order, to[order]
 
 
 def spans(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,8 +365,8 @@ def placed(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)))
 
 
-def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
-    """block, data: for each block the hashes of its anchors that occur twice or more anywhere."""
+def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int, hot_uses: int) -> DataFrame:
+    """block, data: for each block the hashes of its anchors that occur twice or more anywhere, and those of them that occur more than hot_uses times."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
@@ -337,11 +374,11 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int) -> Da
         h, b = h[order], b[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))
         starts = np.flatnonzero(new)
-        twice = np.diff(np.append(starts, h.size)) > 1
+        many = np.diff(np.append(starts, h.size)).astype(np.uint32)
         h, b = h[starts], b[starts]
         to = h % np.uint64(buckets)
         cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-        data = [pack(np.diff(h[i:j], prepend=np.uint64(0)), b[i:j].astype(np.uint32), twice[i:j]) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)]
+        data = [pack(np.diff(h[i:j], prepend=np.uint64(0)), b[i:j].astype(np.uint32), many[i:j]) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,24 +397,23 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int) -> Da
     def meet(group: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in group["data"]]
         h = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
-        b, twice = (np.concatenate([x[i] for x in got]) for i in (1, 2))
+        b, uses = (np.concatenate([x[i] for x in got]) for i in (1, 2))
         order = np.argsort(h, kind="stable")
-        h, b, twice = h[order], b[order], twice[order]
+        h, b, uses = h[order], b[order], uses[order].astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        many = np.diff(np.append(new, h.size))
-        again = np.repeat((many > 1) | (np.add.reduceat(twice.astype(np.int64), new) > 0), many)
-        h, b = h[again], b[again]
+        uses = np.repeat(np.add.reduceat(uses, new), np.diff(np.append(new, h.size)))
+        h, b, uses = h[uses > 1], b[uses > 1], uses[uses > 1]
         order = np.lexsort((h, b))
-        h, b = h[order], b[order]
+        h, b, hot = h[order], b[order], uses[order] > hot_uses
         cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if h.size else np.empty(0, np.int64)
-        data = [pack(np.diff(np.unique(h[i:j]), prepend=np.uint64(0))) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)] if h.size else []
+        data = [pack(np.diff(np.unique(h[i:j]), prepend=np.uint64(0)), np.diff(np.unique(h[i:j][hot[i:j]]), prepend=np.uint64(0))) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)] if h.size else []
         return pa.table({"block": pa.array(b[cuts].astype(np.int64)), "data": pa.array(data, pa.binary())})
 
     sent = texts.select("block", "text").mapInArrow(send, "bucket bigint, data binary")
     return sent.groupBy("bucket").applyInArrow(meet, "block bigint, data binary")
 
 
-def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bool = False) -> DataFrame:
+def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bool = False, hot_uses: int = HOT_USES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text); with whole_rows also `row`, all columns of docs but text, and `rest`, the bytes that stay.
 
     Every byte is removed that a string of `width` bytes covers which also starts
@@ -395,36 +431,30 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
     texts, full = placed(texts, blocks), placed(full, blocks)
-    known = durable(repeated_hashes(texts, buckets, width, gram))
-
-    def hashes(side: pa.Table) -> np.ndarray:
-        got = [np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x, b in zip(side["data"], side["bucket"], strict=True) if b.as_py() is None]
-        return np.concatenate([*got, np.empty(0, np.uint64)])
+    known = durable(repeated_hashes(texts, buckets, width, gram, hot_uses))
 
-    def parts(block: Block, strings: list[bytes], runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The run where each distinct string comes first, and the strings in the order in which buckets get them."""
-        lead = np.full(len(strings), -1)
-        lead[of[::-1]] = runs[::-1]
-        to = (block.hash[lead] % np.uint64(buckets)).astype(np.int64)
-        return lead, np.argsort(to, kind="stable")
+    def hashes(side: pa.Table) -> list[np.ndarray]:
+        got = [unpack(x.as_py()) for x, b in zip(side["data"], side["bucket"], strict=True) if b.as_py() is None]
+        return [np.concatenate([*(np.cumsum(x[i], dtype=np.uint64) for x in got), np.empty(0, np.uint64)]) for i in (0, 1)]
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
             block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
-            runs, strings, of = block.strings(hashes(right))
-            lead, order = parts(block, strings, runs, of)
-            to = (block.hash[lead] % np.uint64(buckets)).astype(np.int64)[order]
+            p = block.pieces(*hashes(right))
+            order, to = p.routed(buckets)
             ids = np.array([LAST if i is None else int(i) for i in block.ids], np.int64)
             tie = np.array(block.tie, np.int64)
+            short = np.uint16 if width < 20_000 else np.uint32
             cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if to.size else []
             for i, j in zip(cuts, [*cuts[1:], to.size], strict=True):
                 these = order[i:j]
-                runs_here = lead[these]
-                d = block.doc[runs_here]
-                sizes = np.array([len(strings[s]) for s in these.tolist()], np.uint16 if width < 20_000 else np.uint32)
-                raw = np.frombuffer(b"".join(strings[s] for s in these.tolist()), np.uint8)
-                out.append((int(to[i]), key[0].as_py(), pack(sizes, ids[d], tie[d], block.start[runs_here].astype(np.int64), d.astype(np.uint32), block.hash[runs_here], raw, (block.place - block.start)[runs_here].astype(np.uint16 if width < 20_000 else np.uint32))))
+                at = p.lead[these]
+                d = p.doc[at]
+                strings = [p.strings[s] for s in these.tolist()]
+                sizes = np.array([len(x) for x in strings], short)
+                raw = np.frombuffer(b"".join(strings), np.uint8)
+                out.append((int(to[i]), key[0].as_py(), pack(sizes, ids[d], tie[d], p.start[at], d.astype(np.uint32), p.key[these], raw, (p.place - p.start)[at].astype(short))))
         kinds = (("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary()))
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
@@ -433,31 +463,27 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
             none = pa.table({n: pa.array([], t) for n, t in fields})
             return none.append_column("rest", pa.array([], pa.binary())).append_column("row", left["row"]) if whole_rows else none
         block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
-        runs, strings, of = block.strings(hashes(right)) if right.num_rows else (np.empty(0, np.int64), [], np.empty(0, np.int64))
-        kind, bits = np.ones(len(strings), np.uint8), {}
-        lead = np.empty(0, np.int64)
-        if strings:
-            lead, order = parts(block, strings, runs, of)
-            to = (block.hash[lead] % np.uint64(buckets)).astype(np.int64)[order]
+        p = block.pieces(*hashes(right))
+        kind, bits = np.ones(len(p.strings), np.uint8), {}
+        if p.strings:
+            order, to = p.routed(buckets)
             answers = {b.as_py(): unpack(x.as_py()) for b, x in zip(right["bucket"], right["data"], strict=True) if b.as_py() is not None}
             for b in np.unique(to).tolist():
                 these = order[to == b]
                 kind[these], at = answers[b][0], 0
                 plain = np.unpackbits(answers[b][1])
                 for s in these[kind[these] == 2].tolist():
-                    n = len(strings[s]) - width + 1
+                    n = len(p.strings[s]) - width + 1
                     bits[s] = plain[at : at + n]
                     at += n
         cover = [None] * len(block.texts)
-        first = lead[of] == runs if strings else np.empty(0, bool)
-        for i, run in enumerate(runs.tolist()):
-            s, d = int(of[i]), int(block.doc[run])
-            a, b = int(block.start[run]), int(block.stop[run])
-            if first[i] and kind[s] == 0:
+        first = p.lead[p.of] == np.arange(p.of.size) if p.strings else np.empty(0, bool)
+        for s, d, a, b, leads in zip(p.of.tolist(), p.doc.tolist(), p.start.tolist(), p.stop.tolist(), first.tolist(), strict=True):
+            if leads and kind[s] == 0:
                 continue
             if cover[d] is None:
                 cover[d] = np.zeros(len(block.texts[d]) + 1, np.int32)
-            if first[i] and kind[s] == 2:
+            if leads and kind[s] == 2:
                 at = a + np.flatnonzero(bits[s])
                 np.add.at(cover[d], at, 1)
                 np.add.at(cover[d], at + width, -1)
