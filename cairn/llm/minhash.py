@@ -8,7 +8,7 @@ only: with the full logarithm, the changed words of a near copy would outweigh
 all it shares with a large group of copies, and take it out of the group.
 
 Samples make bands, bands make buckets. Within a bucket, pairs whose samples agree
-often enough tie candidates together (a spanning forest, not all pairs). Each group
+often enough tie candidates together (a spanning forest, not all pairs); large buckets in blocks, as large groups below. Each group
 of candidates is then verified from whole texts by exact weighted Jaccard similarity, from
 the likeliest pair down, skipping pairs that are already tied. Groups too
 large for one task are verified against a block of leaders; what no leader holds is
@@ -171,17 +171,47 @@ class Ties:
         return a != b
 
 
-def forest(samples: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between rows left and right that tie what their likely pairs tie."""
-    ties, out = Ties(list(range(len(samples)))), []
-    for i, j, _ in agreeing(samples[left], samples[right]):
-        a, b = left[i], right[j]
-        for x, y in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
+def tied_rows(tied: np.ndarray) -> Ties:
+    """Rows with one value are tied."""
+    _, first, which = np.unique(tied, return_index=True, return_inverse=True)
+    return Ties(first[which].tolist())
+
+
+def forest(samples: np.ndarray, tied: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows that tie what their likely pairs tie, and is not tied yet."""
+    ties, out = tied_rows(tied), []
+    for i, j, _ in agreeing(samples, samples):
+        for x, y in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
             if ties.tie(x, y):
                 out.append((x, y))
     return out
 
 
+def led(rows: DataFrame) -> DataFrame:
+    """rows (id, members) once for each job: one job for a group of 2 LEADERS or fewer; else its first block of leaders with each of the others."""
+    blocks = F.ceil(F.col("members") / LEADERS)
+    block = F.pmod(F.xxhash64("id"), blocks)
+    job = F.when(F.col("members") <= 2 * LEADERS, F.array(F.lit(0).cast("bigint")))
+    return rows.withColumn("job", F.explode(job.when(block == 0, F.sequence(F.lit(1).cast("bigint"), blocks - 1)).otherwise(F.array(block))))
+
+
+def open_groups(rows: DataFrame, group: str) -> DataFrame:
+    """Of rows (group, part), groups that leaders did not tie together: their largest part, and blocks of what is outside it and of all."""
+    parts = rows.groupBy(group, "part").agg(F.count("*").alias("n"))
+    whole = parts.groupBy(group).agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+    return whole.filter(F.col("top.n") < F.col("all")).select(group, F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / LEADERS).alias("rests"), F.ceil(F.col("all") / LEADERS).alias("blocks"))
+
+
+def leftover_jobs(rows: DataFrame) -> DataFrame:
+    """rows of open groups once for each job: every block of what is outside the largest part with every block of the group."""
+    to = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rest = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("rests"))
+    as_all = F.transform(to(F.col("rests")), lambda r: F.struct(r.alias("r"), own.alias("b")))
+    as_rest = F.when(F.col("part") != F.col("main"), F.transform(to(F.col("blocks")), lambda b: F.struct(rest.alias("r"), b.alias("b"))))
+    return rows.withColumn("job", F.explode(F.array_union(as_all, F.coalesce(as_rest, as_all))))
+
+
 def candidates(signed: DataFrame) -> DataFrame:
     """Links a, b between classes (id, samples, bands) that share a bucket and are likely to be near."""
 
@@ -197,14 +227,9 @@ def candidates(signed: DataFrame) -> DataFrame:
 
     dealt = signed.select("id", "samples", "bands").mapInArrow(deal, "id bigint, samples binary, bucket bigint")
     keys = signed.select("bands").mapInArrow(keys_only, "bucket bigint").groupBy("bucket").agg(F.count("*").alias("members"))
-    large = durable(keys.filter(F.col("members") > BLOCK).select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks")))
-    if large.isEmpty():
-        small = dealt
-    else:
-        small = dealt.join(large, "bucket", "left_anti")
-        wide = dealt.join(large, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        wide = wide.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    large = durable(keys.filter(F.col("members") > BLOCK))
+    several = not large.isEmpty()
+    small = dealt.join(large, "bucket", "left_anti") if several else dealt
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets come one after the other; one that a batch may cut is kept for the next."""
@@ -232,23 +257,25 @@ def candidates(signed: DataFrame) -> DataFrame:
             samples = np.frombuffer(b"".join(rows["samples"].take(pa.array(used)).to_pylist()), np.uint8).reshape(-1, SAMPLES)
             ids, at = ids[used], 0
             for n in sizes[several].tolist():
-                part = np.arange(n)
-                out += [(ids[at + x], ids[at + y]) for x, y in forest(samples[at : at + n], part, part)]
+                out += [(ids[at + x], ids[at + y]) for x, y in forest(samples[at : at + n], np.arange(n))]
                 at += n
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     def across(group: pa.Table) -> pa.Table:
-        samples = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        block, ids = group["block"].to_numpy(), group["id"].to_numpy()
-        left, right = np.flatnonzero(block == group["lo"][0].as_py()), np.flatnonzero(block == group["hi"][0].as_py())
-        pairs = forest(samples, left, right)
+        samples, ids = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES), group["id"].to_numpy()
+        pairs = forest(samples, group["part"].to_numpy())
         return pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int64()), "b": pa.array([ids[y] for _, y in pairs], pa.int64())})
 
     out = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(within, "a bigint, b bigint")
-    if not large.isEmpty():
-        out = out.unionAll(wide.groupBy("bucket", "lo", "hi").applyInArrow(across, "a bigint, b bigint"))
-    return out
+    if not several:
+        return out
+    wide = durable(dealt.join(large, "bucket"))
+    out = durable(out.unionAll(led(wide.withColumn("part", F.col("id"))).groupBy("bucket", "job").applyInArrow(across, "a bigint, b bigint")))
+    parts = components(out).withColumnRenamed("component", "part")
+    wide = durable(wide.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    rest = leftover_jobs(wide.join(open_groups(wide, "bucket"), "bucket"))
+    return out.unionAll(rest.groupBy("bucket", "job").applyInArrow(across, "a bigint, b bigint"))
 
 
 def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +293,7 @@ def verifier(shipped, threshold: float):
         ids = group["id"].to_numpy()
         samples = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
         texts, tied = group["plain"], group["tied"].to_numpy()
-        _, first, which = np.unique(tied, return_index=True, return_inverse=True)
-        ties = Ties(first[which].tolist())
-        for i in range(len(ids)):
-            ties.up[i] = min(i, ties.up[i])
+        ties = tied_rows(tied)
         sets: dict[int, tuple] = {}
 
         def of(i: int) -> tuple:
@@ -336,12 +360,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = durable(members.select("id", F.col("component").alias("tied"), "component", "samples", F.col("lead.doc_id").alias("doc_id"), "members"))
     on = texts["id"].eqNullSafe(members["id"]) & texts["doc_id"].eqNullSafe(members["doc_id"])
     whole = texts.join(members, on).select(members["id"], "component", "samples", "members", "plain").dropDuplicates(["id"])
-    blocks = F.ceil(F.col("members") / LEADERS)
-    job = F.when(F.col("members") <= 2 * LEADERS, F.array(F.lit(0).cast("bigint")))
-    block = F.pmod(F.xxhash64("id"), blocks)
-    job = job.when(block == 0, F.sequence(F.lit(1).cast("bigint"), blocks - 1)).otherwise(F.array(block))
     verify = verifier(shipped, threshold)
-    jobs = whole.withColumn("job", F.explode(job)).withColumn("tied", F.col("id"))
+    jobs = led(whole).withColumn("tied", F.col("id"))
     links = durable(jobs.groupBy("component", "job").applyInArrow(verify, "a bigint, b bigint"))
     if not members.filter(F.col("members") > 2 * LEADERS).isEmpty():
         links = links.unionAll(leftovers(texts, members, links, verify))
@@ -358,19 +378,10 @@ def leftovers(texts: DataFrame, members: DataFrame, links: DataFrame, verify) ->
     parts = components(links).withColumnRenamed("component", "part")
     wide = members.filter(F.col("members") > 2 * LEADERS).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     wide = durable(wide.select("id", "component", "samples", "doc_id", "members", "part"))
-    sizes = wide.groupBy("component", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
-    open_ = largest.filter(F.col("top.n") < F.col("all")).select("component", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / LEADERS).alias("rests"), F.ceil(F.col("all") / LEADERS).alias("blocks"))
-    wide = wide.join(open_, "component")
+    wide = wide.join(open_groups(wide, "component"), "component")
     on = texts["id"].eqNullSafe(wide["id"]) & texts["doc_id"].eqNullSafe(wide["doc_id"])
     wide = texts.join(wide, on).select(wide["id"], "component", "samples", "plain", "part", "main", "rests", "blocks").dropDuplicates(["id"])
-    to = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    rest = F.pmod(F.xxhash64(F.lit("rest"), "id"), F.col("rests"))
-    as_all = F.transform(to(F.col("rests")), lambda r: F.struct(r.alias("r"), own.alias("b")))
-    as_rest = F.when(F.col("part") != F.col("main"), F.transform(to(F.col("blocks")), lambda b: F.struct(rest.alias("r"), b.alias("b"))))
-    jobs = wide.withColumn("job", F.explode(F.array_union(as_all, F.coalesce(as_rest, as_all))))
-    return jobs.withColumn("tied", F.col("part")).groupBy("component", "job").applyInArrow(verify, "a bigint, b bigint")
+    return leftover_jobs(wide).withColumn("tied", F.col("part")).groupBy("component", "job").applyInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
