@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +28,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df does not use yet (whatever their case)."""
     used = {c.lower() for c in df.columns}
@@ -49,7 +44,3 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def small_batches(spark: SparkSession) -> None:
     """Batches that go to Python are bounded by bytes; texts may be long, so by rows too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
