@@ -37,7 +37,7 @@ from cairn.llm.features import mixed
 
 GRAM = 32
 HOT_USES = 50_000
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 1 << 20
 #: Bits of a key that hold a gram's place, and symbols (of 9 bits) that fit in a word.
 PLACES, WORD = 1 << 24, 7
 BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -388,7 +388,7 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int, hot_u
                 h = anchors(np.frombuffer((cell.as_py() or "").encode("utf-8"), np.uint8), width, gram)[0]
                 held.append((h, np.full(h.size, block, np.int64)))
                 size += h.size
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from flush(held)
                     held, size = [], 0
         if size:
