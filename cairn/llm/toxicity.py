@@ -24,8 +24,10 @@ from cairn.llm.quality import sigmoid
 WORDS = re.compile(r"[^\W\d_]+")
 WINDOW, STRIDE = 64, 48
 HIDDEN, DIM = 12, 6
-GRAMS, GRAM_BITS = (3, 4, 5), 15
-VOCABULARY = 4096
+GRAMS, GRAM_BITS = (3, 4, 5), 17
+VOCABULARY, LEAST_WORDS = 4096, 24
+#: Standard errors by which a word or n-gram has to lean to start as toxic.
+CLEAR = 3.0
 SAMPLE, SAMPLE_WINDOWS = 2000, 64
 REMEMBERED = 1 << 17
 BATCH = 1024
@@ -206,8 +208,8 @@ def fit(texts: Iterable[list[str]], toxic: np.ndarray, rounds: int = 12, seed: i
         apart[:] = False
     learnt = [np.unique(t) for t, a in zip(of_text, apart, strict=True) if not a]
     by_word = leaning(learnt, len(every), toxic[~apart])
-    clear = np.flatnonzero(by_word > 1)
-    clear = clear[np.argsort(-by_word[clear], kind="stable")][:VOCABULARY]
+    order = np.argsort(-by_word, kind="stable")[:VOCABULARY]
+    clear = order[(by_word[order] > CLEAR) | (by_word[order] > 1.5) & (np.arange(order.size) < LEAST_WORDS)]
     vocabulary = {every[w]: i + 1 for i, w in enumerate(clear.tolist())}
     buckets, many = grams_of(every)
     buckets, ends = buckets.astype(np.int32), np.cumsum(many)
@@ -218,7 +220,7 @@ def fit(texts: Iterable[list[str]], toxic: np.ndarray, rounds: int = 12, seed: i
     p["words"][0] = 0
     p["words"][:, 0], p["grams"][:, 0] = 0, 0
     p["words"][1 : clear.size + 1, 0] = np.minimum(by_word[clear], 8) / 4
-    p["grams"][:, 0] = np.where(by_gram > 2, np.minimum(by_gram, 8) / 12, 0)
+    p["grams"][:, 0] = np.where(by_gram > CLEAR, np.minimum(by_gram, 8) / 12, 0)
     for w in "fb":
         p["w" + w] = rng.normal(0, 0.4, (2 * DIM, 3 * HIDDEN)).astype(f32)
         p["u" + w] = rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)).astype(f32)
@@ -237,7 +239,7 @@ def fit(texts: Iterable[list[str]], toxic: np.ndarray, rounds: int = 12, seed: i
     rate, batch = 0.02, 64
     per_round = max(1, -(-int((~apart).sum()) // batch))
     rounds = max(rounds, -(-240 // per_round))
-    looks = {int(round(rounds * k / 4)) for k in range(1, 4)}
+    looks = {int(round(rounds * k / 10)) for k in range(1, 10)}
     for turn in range(rounds):
         if turn in looks:
             score = all_logits(net, x, slots, first, length)
@@ -264,7 +266,7 @@ def fit(texts: Iterable[list[str]], toxic: np.ndarray, rounds: int = 12, seed: i
                 m += f32(0.1) * v
                 s *= f32(0.99)
                 s += f32(0.01) * v * v
-                own = now * (0.15 if k in ("words", "grams") else 0.5)
+                own = now * {"words": 0.1, "grams": 0.02}.get(k, 0.5)
                 p[k] -= (f32(own / (1 - 0.9**turns)) * m / (np.sqrt(s / f32(1 - 0.99**turns)) + f32(1e-5))).astype(f32)
         x = net.table([*every, ""])
     score = all_logits(net, x, slots, first, length)
@@ -344,7 +346,8 @@ class Scorer:
         for a in range(0, len(first), 2000):
             part = slice(a, a + 2000)
             lo, hi = int(first[a]), int((first[part] + length[part]).max())
-            z = logits_of(self.net, self.tables, self.slots(words[lo:hi]), first[part] - lo, length[part], REMEMBERED)
+            slots = self.slots(words[lo:hi])  # first: it may make new tables
+            z = logits_of(self.net, self.tables, slots, first[part] - lo, length[part], REMEMBERED)
             np.maximum.at(worst, owner[part], z)
         return sigmoid(self.net.scale * worst + self.net.shift)
 

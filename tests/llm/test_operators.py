@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import common, embeddings, features, graph, html, licenses, minhash, mixing, packing, queries, suffix, token_counts
+from cairn.llm import common, embeddings, features, graph, html, licenses, minhash, mixing, packing, queries, suffix, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -390,3 +390,17 @@ def test_word_hashes_tell_words_apart():
     data = np.frombuffer(b"a ab a b\tab aba", np.uint8)
     h = features.word_hashes(data, *features.words_of(data)).tolist()
     assert h[0] == h[2] and h[1] == h[4] and len(set(h)) == 4
+
+
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(3000)] + ["vile"] * 40
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 300))] for _ in range(120)]
+    net = toxicity.fit(texts, np.array(["vile" in t for t in texts], np.int64), rounds=2)
+    whole = [" ".join(t) for t in texts]
+    expected = toxicity.Scorer(net).scores(whole)
+    alone = np.concatenate([toxicity.Scorer(net).scores([t]) for t in whole])
+    monkeypatch.setattr(toxicity, "REMEMBERED", 700)
+    scorer = toxicity.Scorer(net)
+    few = np.concatenate([scorer.scores([t]) for t in whole])
+    assert np.allclose(expected, alone, atol=1e-5) and np.allclose(expected, few, atol=1e-5)
