@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +24,17 @@ def durable_dir(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what durable() has written in this process; results that were built on it must have been written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        at = path(_made.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,6 +57,14 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns memory that this worker no longer uses to the system: workers live on after a task, several to an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches that go to Python are bounded by bytes; texts may be long, so by rows too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, fresh, small_batches
+from cairn.llm.common import durable, fresh, give_back, small_batches
 from cairn.llm.features import grams, mixed, word_hashes, words_of
 from cairn.llm.graph import components
 
@@ -117,6 +117,8 @@ def frequencies(texts: DataFrame, documents: int) -> np.ndarray:
             parts = [pack(table[i * width : (i + 1) * width].astype("<u8").tobytes()) for i in range(DF_PARTS)]
             salt = TaskContext.get().partitionId() % 256
             yield pa.RecordBatch.from_arrays([pa.array(range(DF_PARTS), pa.int32()), pa.array([salt] * DF_PARTS, pa.int32()), pa.array(parts, pa.binary())], names=["part", "salt", "counts"])
+        del table
+        give_back()
 
     def added(group: pa.Table) -> tuple[int, np.ndarray]:
         total = np.zeros(width, np.uint64)
@@ -347,6 +349,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 samples.append(s.astype(np.uint8).tobytes())
                 keys.append(bands(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(samples, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "id", "samples", "bands"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = durable(texts.select("doc_id", "id", "plain").mapInArrow(sign, f"doc_id {kind}, id bigint, samples binary, bands binary"))

@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from cairn.llm.common import durable, fresh, small_batches
+from cairn.llm.common import durable, fresh, give_back, small_batches
 from cairn.llm.features import mixed
 
 GRAM = 32
@@ -357,6 +357,8 @@ def resolve(group: pa.Table, width: int) -> pa.Table:
         bits = [repeated[i] for i in here[kind == 2].tolist()]
         rows.append((block, pack(kind, np.packbits(np.concatenate(bits)) if bits else np.empty(0, np.uint8))))
         at += n
+    del raw, strings, number, requests
+    give_back()
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -393,6 +395,8 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int, hot_u
                     held, size = [], 0
         if size:
             yield from flush(held)
+        del held
+        give_back()
 
     def meet(group: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in group["data"]]
@@ -414,7 +418,7 @@ def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int, hot_u
 
 
 def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bool = False, hot_uses: int = HOT_USES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text); with whole_rows also `row`, all columns of docs but text, and `rest`, the bytes that stay.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text); with whole_rows also `row`, all columns of docs but text, and `rest`, the bytes that stay as text (a character of which a byte goes is gone).
 
     Every byte is removed that a string of `width` bytes covers which also starts
     earlier: in a document with a smaller id, or in the same one. Strings are
@@ -461,7 +465,7 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             none = pa.table({n: pa.array([], t) for n, t in fields})
-            return none.append_column("rest", pa.array([], pa.binary())).append_column("row", left["row"]) if whole_rows else none
+            return none.append_column("rest", pa.array([], pa.string())).append_column("row", left["row"]) if whole_rows else none
         block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
         p = block.pieces(*hashes(right))
         kind, bits = np.ones(len(p.strings), np.uint8), {}
@@ -501,7 +505,7 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
             rows.append((block.ids[d], len(data), removed, many, hashlib.sha256(rest).hexdigest(), rest))
         out = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(fields)})
         if whole_rows:
-            out = out.append_column("rest", pa.array([r[-1] for r in rows], pa.binary())).append_column("row", left["row"].take(pa.array(block.order)))
+            out = out.append_column("rest", pa.array([r[-1].decode("utf-8", "ignore") for r in rows], pa.string())).append_column("row", left["row"].take(pa.array(block.order)))
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -509,7 +513,7 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     out = StructType.fromDDL(schema)
     if whole_rows:
-        out = out.add("rest", "binary").add("row", full.schema["row"].dataType)
+        out = out.add("rest", "string").add("row", full.schema["row"].dataType)
     grouped = texts.groupBy("block")
     replies = known.select("block", F.lit(None).cast("bigint").alias("bucket"), "data")
     asked = grouped.cogroup(replies.groupBy("block")).applyInArrow(ask, "bucket bigint, block bigint, data binary")
@@ -525,14 +529,6 @@ def cut_out(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:
     """
     was_null = fresh(docs, "text_was_null")[0]
     got = removals(docs.withColumn(was_null, F.col("text").isNull()), width, gram, whole_rows=True)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "rest"])
-
-    schema = StructType([got.schema["row"], StructField("rest", StringType())])
-    got = got.select("row", "rest").mapInArrow(decode, schema)
     text = F.when(~F.col("row")[was_null], F.col("rest"))
     values = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": text.cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:

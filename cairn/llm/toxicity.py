@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches
+from cairn.llm.common import give_back, small_batches
 from cairn.llm.quality import sigmoid
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -429,6 +429,8 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
         scorer = unpacked(sent)
         for batch in batches:
             yield batch.filter(pa.array(scores_of(scorer, batch.column(at)) < threshold))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -455,5 +457,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
         for batch in batches:
             score = scores_of(scorer, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        del scorer
+        give_back()
 
     return made.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
