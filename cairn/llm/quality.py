@@ -7,6 +7,7 @@ rows, bounded by a parameter; Platt's scaling on a part kept apart makes its out
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,13 +57,13 @@ def sigmoid(z):
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 160, decay: float = 2e-4) -> Model | None:
-    """x: one row of inputs for each text; y: 1 for good ones. None if y has one value only."""
+    """x: one row of inputs for each text; y: 1 for good ones; the last fifth calibrates. None if y has one value only."""
     if y.size < 2 or y.min() == y.max():
         return None
-    apart = np.arange(y.size) % 5 == 0
-    if y[apart].min() == y[apart].max() or y[~apart].min() == y[~apart].max():
-        apart = np.zeros(y.size, bool)
-    a, t = x[~apart], y[~apart].astype(np.float32)
+    learnt = y.size - y.size // 5
+    if y[learnt:].min(initial=1) == y[learnt:].max(initial=0) or y[:learnt].min() == y[:learnt].max():
+        learnt = y.size
+    a, t = x[:learnt], y[:learnt].astype(np.float32)
     mean = a.mean(0)
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(w.size + 1, np.float32), np.zeros(w.size + 1, np.float32)
@@ -75,7 +76,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 160, decay: float = 2e-4) ->
         w -= step[:-1]
         bias -= float(step[-1])
     bias = float(bias - mean @ w)
-    b, u = (x[apart], y[apart]) if apart.any() else (x, y)
+    b, u = (x[learnt:], y[learnt:]) if learnt < y.size else (x, y)
     z = (b @ w + bias).astype(np.float64)
     # Platt's targets keep the fit finite when the classes part
     good = u.sum()
@@ -108,11 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     rows = labelled(docs, labels, "quality", sample).mapInArrow(run, "doc_id string, label int, x binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: (zlib.crc32(r["doc_id"].encode()), r["doc_id"]))
     if not rows:
         return None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return fit(x, np.array([r["label"] for r in rows]))
+    y = np.array([r["label"] for r in rows])
+    x = np.empty((len(rows), FAMILIES * BUCKETS), np.float32)
+    for i in range(len(rows) - 1, -1, -1):
+        x[i] = np.frombuffer(rows.pop()["x"], np.float16)
+    return fit(x, y)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
