@@ -1,6 +1,6 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text is brought to one form (case, punctuation, copyright lines, equivalent
+A text is brought to one form (case, punctuation, copyright statements, equivalent
 spellings) and its digest is joined to the digests of known licences, which are a table of fixed size.
 Single lines are looked up in the same way among short notices. Only whole texts and whole
 lines match; nothing is searched for inside them.
@@ -149,15 +149,29 @@ NOTICES = {
     "All rights reserved.": "all-rights-reserved",
 }
 
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+SEP = r"(?:[ \t\r]*\n(?![ \t\r]*\n)[ \t\r]*|[ \t\r]+)"
+YEAR = r"[\[<{(]?(?:(?:19|20)\d\d|year\b|yyyy\b)"
+MARK = rf"(?:\bcopyright[,:]?\s*(?:\(c\)|©|{YEAR}|by\b)|(?:\(c\)|©)\s*(?:copyright\s*)?{YEAR}|©\s*copyright\b)"
+#: What follows a copyright statement where no blank line or full stop does: the first words of licences and of their titles.
+OPENING = r"(?:all\s+rights\s+reserved|permission\s+(?:is|to)|redistribution\s+and\s+use|licen[sc]ed\s+under|released\s+under|everyone\s+is\s+permitted|this\s+(?:software|program|library|file|work|is\s+free)\b|the\s+above\s+copyright|(?:the\s+)?(?:mit|isc|bsd|zlib|apache)\s+licen[sc]e)"
+SHORT = r"(?:(?:inc|ltd|corp|co|jr|sr|dr|st|al|[a-z])\.,?(?=\s|\Z))"
+#: The holders, up to a full stop, a blank line, another statement or the licence; a single line break is a space.
+ENDED = rf"(?!{SHORT})\S*[.;:!?](?=\s|\Z)"
+HOLDER = rf"(?:{ENDED}|\S*(?=\s|\Z)(?:{SEP}(?:{SHORT}|\S*[^\s.;:!?](?=\s|\Z))){{0,100}}?(?:\s*\Z|(?=[ \t\r]*\n[ \t\r]*\n)|(?={SEP}(?:{OPENING}|copyright\b|\(c\)|©))|{SEP}{ENDED}))"
+STATEMENT = rf"{MARK}{HOLDER}"
+#: Without a sign or year, a statement is only known by its place: at the beginning or after a blank line or a title.
+BARE = rf"(\A\s*|\n[ \t\r]*\n\s*|licen[sc]e\)?\s+)(?:(?:copyright\s+(?!notices?\b|holders?\b|owners?\b|licen[sc]es?\b|laws?\b|statements?\b|acts?\b|and\b|or\b|in\b|is\b|to\b|of\b)|©\s*){HOLDER}\s*)+"
+RESERVED = r"\ball\s+rights\s+reserved\b\.?"
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column, whole: bool) -> Column:
-    """The form that digests are taken of; of a whole text without its copyright lines."""
+    """The form that digests are taken of; of a whole text without its copyright statements, wherever its lines break."""
     out = F.lower(text)
     if whole:
-        out = F.regexp_replace(out, COPYRIGHT, "\n")
+        said = F.regexp_replace(F.regexp_replace(out, STATEMENT, " "), BARE, "$1 ")
+        out = F.when(out.contains("copyright") | out.contains("(c)") | out.contains("©"), said).otherwise(out)
+        out = F.regexp_replace(out, RESERVED, " ")
     out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), NO_WORD, "  ")
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for old, new in SPELLINGS.items():
@@ -169,7 +183,12 @@ def canonical_text(text: str, whole: bool) -> str:
     """The same for the known texts, on the driver."""
     out = text.lower()
     if whole:
-        out = re.sub(COPYRIGHT, "\n", out)
+        for pattern, kept in ((STATEMENT, " "), (BARE, r"\1 "), (RESERVED, " ")):
+            out = re.sub(pattern, kept, out, flags=re.ASCII)
+    return words_of(out)
+
+
+def words_of(out: str) -> str:
     words = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in out.replace("&", " and ")).split()
     return " ".join(SPELLINGS.get(w, w) for w in words)
 
@@ -199,19 +218,24 @@ def licences(docs: DataFrame, known: dict[str, str] | None = None, notices: dict
     return rows.join(F.broadcast(listed), rows["digest"] == listed["known_digest"], "left").select("doc_id", "digest", "license_id", "notice_ids")
 
 
+#: The rule and the licences of the SQL, which is not to change: whole lines, and five texts.
+SQL_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+SQL_LICENCES = ("MIT", "ISC", "0BSD", "Zlib", "BSD-2-Clause")
+
+
 def oracle() -> str:
-    """licences() over documents as DuckDB SQL."""
+    """licences() over documents as DuckDB SQL; other than there, each line that begins like a copyright statement goes."""
 
     def form(x: str, whole: bool) -> str:
         out = f"lower({x})"
         if whole:
-            out = f"regexp_replace({out}, '{COPYRIGHT.replace(chr(92) + 'n', chr(10)).replace(chr(92) + 't', chr(9))}', chr(10), 'g')"
+            out = f"regexp_replace({out}, '{SQL_COPYRIGHT.replace(chr(92) + 'n', chr(10)).replace(chr(92) + 't', chr(9))}', chr(10), 'g')"
         out = f"' ' || regexp_replace(replace({out}, '&', ' and '), '{NO_WORD}', '  ', 'g') || ' '"
         for old, new in SPELLINGS.items():
             out = f"replace({out}, ' {old} ', ' {new} ')"
         return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
-    table = ", ".join(f"('{digest(canonical_text(t, True))}', '{n}')" for n, t in LICENCES.items())
+    table = ", ".join(f"('{digest(words_of(re.sub(SQL_COPYRIGHT, chr(10), LICENCES[n].lower())))}', '{n}')" for n in SQL_LICENCES)
     lines = ", ".join(f"('{digest(canonical_text(t, False))}', '{n}')" for t, n in NOTICES.items())
     return f"""
 with known(d, license_id) as (values {table}), notices(d, n) as (values {lines}),
