@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
             f.write(row["data"])
         os.replace(f"{a.output}.tmp", a.output)
     elif a.command == "history":
-        catalog.history(store.manifests, a.file).show(1000, truncate=False)
+        catalog.history(store.manifests, a.file, gigabytes=bool(a.remote)).show(1000, truncate=False)
     elif a.command == "restore":
         asked = spark.createDataFrame([(a.file, a.number)], "name string, version bigint")
         row = restore_status(store, asked).head()
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         new = restore(store, asked, int(time.time()))
         node.commit(Upload(new, store.chunks.limit(0), store.chunks))
     elif a.command == "list":
-        catalog.listing(store.manifests).orderBy("name").show(1000, truncate=False)
+        catalog.listing(store.manifests, gigabytes=bool(a.remote)).orderBy("name").show(1000, truncate=False)
     elif a.command == "ping":
         print(*Session(spark, store).execute(f"PING {a.message}"))
     else:

@@ -49,6 +49,8 @@ def with_latest(manifests: DataFrame) -> DataFrame:
 
 def history(manifests: DataFrame, name: str | None = None, gigabytes: bool = False) -> DataFrame:
     """Versions with labels; of one name in order, or of all names."""
+    if name == "":
+        raise ValueError("a name has one character at least")
     rows = manifests if name is None else manifests.filter(F.col("name") == name)
     out = with_latest(rows).select(
         "name", "version", "file_size", "num_chunks", "timestamp",
@@ -61,6 +63,8 @@ def history(manifests: DataFrame, name: str | None = None, gigabytes: bool = Fal
 
 def version_list(manifests: DataFrame, most: int) -> DataFrame:
     """The first `most` versions of each name, ascending. Rows beyond are dropped before the shuffle (a group limit)."""
+    if most < 1:
+        raise ValueError("one version at least")
     turn = F.row_number().over(Window.partitionBy("name").orderBy("version"))
     return manifests.withColumn("turn", turn).filter(F.col("turn") <= most).drop("turn")
 
@@ -74,4 +78,6 @@ def listing(manifests: DataFrame, gigabytes: bool = False) -> DataFrame:
 
 def capped(listed: DataFrame, most: int) -> DataFrame:
     """The first `most` rows by name."""
+    if most < 1:
+        raise ValueError("one name at least")
     return listed.orderBy("name").limit(most)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.scalars import base_name, has_digest_length
+from cairn.functions.scalars import base_name, digest, has_digest_length
 from cairn.operators.catalog import next_versions
-from cairn.operators.chunking import manifest_chunks, manifests_of, new_chunks, slices
+from cairn.operators.chunking import manifest_chunks, new_chunks, slices
 from cairn.schema import CHUNK_SIZE, MOST_CHUNKS
 
 
@@ -31,15 +31,26 @@ class Upload:
 
 
 def upload(store: Store, files: DataFrame, size: int = CHUNK_SIZE, most_chunks: int = MOST_CHUNKS) -> Upload:
-    """New versions of files (name or path, timestamp, data; one row for a name). Every upload is a version, whatever its content.
+    """New versions of files (name or path, timestamp, data). Every row is a version, whatever its content.
 
-    Names are last parts of paths; rows without a name or payload, and payloads of more than most_chunks
-    chunks, are left out (upload_status tells why).
+    Names are last parts of paths; rows of one name are numbered by timestamp, then path, then digest; equal rows are
+    versions of their own. Rows without a name or payload, and payloads of more than most_chunks chunks, are left out
+    (upload_status tells why). Only what identifies rows is sorted or counted, no payload.
     """
-    named = files.withColumn("name", base_name(F.col("name"))).filter(F.col("name").isNotNull() & (F.octet_length("data") <= size * most_chunks))
-    numbered = named.join(next_versions(store.manifests, named), "name").withColumnRenamed("next_version", "version")
-    cut = slices(numbered, size)
-    return Upload(manifests_of(cut), new_chunks(cut, store.chunks), cut)
+    named = files.select(base_name(F.col("name")).alias("name"), F.col("name").alias("path"), "timestamp", "data")
+    named = named.filter(F.col("name").isNotNull() & (F.octet_length("data") <= size * most_chunks)).withColumn("whole", digest(F.col("data")))
+    alike = ["name", "path", "timestamp", "whole"]
+    kinds = named.groupBy(*alike).agg(F.count("*").alias("copies"))
+    before = F.sum("copies").over(Window.partitionBy("name").orderBy("timestamp", "path", "whole").rowsBetween(Window.unboundedPreceding, -1))
+    kinds = kinds.withColumn("before", F.coalesce(before, F.lit(0))).join(next_versions(store.manifests, named), "name")
+    kinds = kinds.select(*[F.col(c).alias(f"k_{c}") for c in alike], (F.col("next_version") + F.col("before")).alias("version"), "copies")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in alike]
+    cut = slices(named.join(kinds, same[0] & same[1] & same[2] & same[3]).select("name", "timestamp", "version", "copies", "data"), size)
+    lists = cut.groupBy("name", "timestamp", "version", "copies").agg(F.array_sort(F.collect_set(F.struct("idx", "hash", "n"))).alias("all"))
+    lists = lists.select("name", F.explode(F.sequence("version", F.col("version") + F.col("copies") - 1)).alias("version"), "timestamp", "all")
+    total = F.aggregate("all", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["n"])
+    made = lists.select("name", "version", F.size("all").cast("bigint").alias("num_chunks"), total.alias("file_size"), "timestamp", F.transform("all", lambda x: x["hash"]).alias("chunk_hashes"))
+    return Upload(made, new_chunks(cut, store.chunks), cut)
 
 
 def upload_status(files: DataFrame, size: int = CHUNK_SIZE, most_chunks: int = MOST_CHUNKS) -> DataFrame:
@@ -87,8 +98,14 @@ def restore(store: Store, wanted: DataFrame, timestamp: Column | int) -> DataFra
     return store.manifests.join(ok, ["name", "version"]).select("name", F.col("new_version").alias("version"), "num_chunks", "file_size", when.cast("bigint").alias("timestamp"), "chunk_hashes")
 
 
+def folded(offered: DataFrame) -> DataFrame:
+    """offered with its digests in lower case, as chunks are named."""
+    return offered.withColumn("chunk_hashes", F.transform("chunk_hashes", lambda h: F.lower(h)))
+
+
 def commit_status(store: Store, offered: DataFrame, most_chunks: int = MOST_CHUNKS) -> DataFrame:
-    """name, status, new_version of manifests that are offered (name, num_chunks, file_size, timestamp, chunk_hashes; one for a name). The receiver gives the version."""
+    """name, status, new_version of manifests that are offered (name, num_chunks, file_size, timestamp, chunk_hashes; one for a name). The receiver gives the version; digests count whatever their case."""
+    offered = folded(offered)
     lists = offered.select("name", F.lit(0).cast("bigint").alias("version"), "chunk_hashes")
     lacking = missing_of(lists, store.chunks).select("name").distinct().withColumn("lacks", F.lit(True))
     bad = ~F.forall("chunk_hashes", has_digest_length)
@@ -107,4 +124,4 @@ def commit_status(store: Store, offered: DataFrame, most_chunks: int = MOST_CHUN
 def committed(store: Store, offered: DataFrame, most_chunks: int = MOST_CHUNKS) -> DataFrame:
     """The manifests that are taken."""
     ok = commit_status(store, offered, most_chunks).filter(F.col("status") == "ok").select("name", F.col("new_version").alias("version"))
-    return offered.drop("version").join(ok, "name").select("name", "version", "num_chunks", "file_size", "timestamp", "chunk_hashes")
+    return folded(offered).drop("version").join(ok, "name").select("name", "version", "num_chunks", "file_size", "timestamp", "chunk_hashes")

@@ -47,10 +47,19 @@ def download(store: Store, manifests: DataFrame | None = None, verify: str = "di
 
 
 def chunk(store: Store, hash_: str) -> DataFrame:
-    """One chunk; its prefix prunes partitions, its hash row groups."""
+    """One chunk, whatever the case of its digest; its prefix prunes partitions, its hash row groups."""
+    if len(hash_) != 64:
+        raise ValueError("a digest has 64 characters")
+    hash_ = hash_.lower()
     return store.chunks.filter((F.col("prefix") == hash_[:2]) & (F.col("hash") == hash_))
 
 
+def chunks_of(store: Store, asked: DataFrame) -> DataFrame:
+    """The chunks that asked (hash) names, each once; digests count whatever their case."""
+    wanted = asked.select(F.lower("hash").alias("hash"), F.lower(F.substring("hash", 1, 2)).alias("prefix")).distinct()
+    return store.chunks.join(wanted, ["prefix", "hash"], "left_semi")
+
+
 def first_missing(store: Store) -> DataFrame:
     """name, version, first_missing of manifests that lack chunks."""
     from cairn.operators.lifecycle import missing_of

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.chunking import manifest_chunks, reassembled
+from cairn.functions.scalars import digest
+from cairn.operators.chunking import manifest_chunks
 from cairn.operators.lifecycle import Store, Upload, added, committed, upload
+from cairn.operators.retrieve import download
 from cairn.schema import CHUNK_SIZE
 
 
@@ -40,7 +42,7 @@ def dedup_counts(cut: DataFrame, stored: DataFrame) -> DataFrame:
 def remote_upload(local: Store, remote: Store, files: DataFrame, size: int = CHUNK_SIZE) -> tuple[Store, Store, DataFrame]:
     """The stores afterwards, and the counts of what was sent: chunks first, then the manifest, which the receiver numbers. Chunks stay in the local cache too."""
     new: Upload = upload(remote, files, size)
-    counts = dedup_counts(new.cut, remote.chunks)
+    counts = dedup_counts(manifest_chunks(new.manifests), remote.chunks)
     with_chunks = Store(remote.manifests, added(remote, new).chunks)
     taken = committed(with_chunks, new.manifests)
     cache = new.cut.select("hash", F.col("n").alias("size"), "data").dropDuplicates(["hash"]).withColumn("prefix", F.substring("hash", 1, 2))
@@ -49,8 +51,18 @@ def remote_upload(local: Store, remote: Store, files: DataFrame, size: int = CHU
 
 
 def remote_download(local: Store, remote: Store, manifests: DataFrame) -> tuple[DataFrame, Store]:
-    """name, version, data of remote manifests, chunks from the local store first; and the local store with what was fetched."""
-    fetch = fetch_plan(manifests, local.chunks, remote.chunks).filter(F.col("source") == "remote")
-    fetched = remote.chunks.join(fetch.select("hash"), "hash", "left_semi").filter(F.sha2("data", 256) == F.col("hash"))
-    cache = Store(local.manifests, local.chunks.unionByName(fetched.select(*local.chunks.columns)))
-    return reassembled(manifest_chunks(manifests), cache.chunks), cache
+    """name, version, data of remote manifests that come out whole, chunks from the local store first; and the local store with what was fetched.
+
+    A chunk counts only if its bytes have its digest, on either side: a damaged local one is fetched again and
+    replaced. A manifest whose chunks are not all there, or sum to another size, gives nothing.
+    """
+    wanted = manifest_chunks(manifests).select("hash").distinct()
+
+    def sound(chunks: DataFrame) -> DataFrame:
+        return chunks.join(wanted, "hash", "left_semi").filter(digest(F.col("data")) == F.col("hash")).select("hash", "size", "data", "prefix")
+
+    near = sound(local.chunks)
+    fetched = sound(remote.chunks.join(near.select("hash"), "hash", "left_anti"))
+    kept = local.chunks.join(fetched.select("hash"), "hash", "left_anti")
+    found = download(Store(manifests, near.unionByName(fetched)), verify="size")  # digests have been compared
+    return found, Store(local.manifests, kept.select(*local.chunks.columns).unionByName(fetched.select(*local.chunks.columns)))

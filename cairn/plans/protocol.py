@@ -1,20 +1,28 @@
-"""The line protocol: commands parsed as columns, and a session that answers them from a store."""
+"""The line protocol: commands parsed as columns, answered in batches from a store, and a session for one client.
 
-from __future__ import annotations
+Answers are rows (seq, row, line): seq is the command's, and row puts the lines of one answer in order (gaps are allowed, so
+no answer has to be gathered in one place).
+"""
 
-import hashlib
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.scalars import digest, has_digest_length, same_digest
 from cairn.operators import catalog
-from cairn.operators.lifecycle import Store, commit_status, committed
+from cairn.operators.chunking import new_chunks
+from cairn.operators.lifecycle import Store, missing_of
+from cairn.operators.retrieve import chunks_of
 from cairn.operators.sync import has_chunk
-from cairn.schema import CHUNK_SIZE, DEFAULT_PORT, MOST_CHUNKS, PRODUCT, VERSION, WIRE_LIST_CAP
+from cairn.schema import CHUNK_SIZE, CHUNKS, DEFAULT_PORT, MANIFESTS, MOST_CHUNKS, PRODUCT, VERSION, WIRE_LIST_CAP
 
-# The verbs of the protocol.
+# The verbs of the protocol, and what HELP lists.
 VERBS = ("PING", "INFO", "HELP", "LIST", "HISTORY", "HAS_CHUNK", "STORE_CHUNK", "GET_CHUNK", "GET_META", "UPLOAD_META", "QUIT", "EXIT")
+HELP = "OK Supported commands: PING, LIST, INFO, HISTORY <file>, HAS_CHUNK <hash>, STORE_CHUNK <hash> <len>, GET_CHUNK <hash>, GET_META <file> [ver], UPLOAD_META <file> <size> <count>, HELP, QUIT"
+INFO = f"OK {PRODUCT} {VERSION} (chunk_size={CHUNK_SIZE}, default_port={DEFAULT_PORT})"
+REPLIES = "seq bigint, row bigint, line string"
+NUMBER = r"[+-]?[0-9]+"
 
 
 def parsed(commands: DataFrame) -> DataFrame:
@@ -22,149 +30,176 @@ def parsed(commands: DataFrame) -> DataFrame:
 
     The first space parts verb and argument; white space around either is dropped.
     """
+    return _parsed(commands).select("seq", "verb", "argument", "known")
+
+
+def _parsed(commands: DataFrame) -> DataFrame:
     line = F.regexp_replace("line", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    parts = commands.select("seq", line.alias("line")).filter(F.col("line") != "")
+    others = [c for c in commands.columns if c not in ("seq", "line")]
+    parts = commands.select("seq", line.alias("line"), *others).filter(F.col("line") != "")
     verb = F.upper(F.regexp_extract("line", r"^([^ ]*)", 1))
     argument = F.regexp_extract("line", r"^[^ ]* *(.*)$", 1)
-    return parts.select("seq", verb.alias("verb"), argument.alias("argument"), verb.isin(*VERBS).alias("known"))
+    return parts.withColumns({"verb": verb, "argument": argument, "known": verb.isin(*VERBS)})
+
+
+def _answer(rows: DataFrame, line: Column, row: Column | int = 0) -> DataFrame:
+    at = F.lit(row) if isinstance(row, int) else row
+    return rows.select("seq", at.cast("bigint").alias("row"), line.alias("line"))
+
+
+def _word(i: int) -> Column:
+    """The i-th word of the argument, null where there is none."""
+    return F.get(F.filter(F.split("argument", r"\s+"), lambda w: w != ""), F.lit(i))
+
+
+def _plain(asked: DataFrame) -> DataFrame:
+    verb, argument = F.col("verb"), F.col("argument")
+    line = F.when(verb == "PING", F.when(argument == "", "PONG").otherwise(F.concat(F.lit("PONG "), argument)))
+    line = line.when(verb == "INFO", F.lit(INFO)).when(verb == "HELP", F.lit(HELP)).when(verb.isin("QUIT", "EXIT"), F.lit("BYE"))
+    line = line.when(~F.col("known"), F.concat(F.lit("ERR Unknown command: "), "line"))
+    return _answer(asked, line).filter(F.col("line").isNotNull())
+
+
+def _list(asked: DataFrame, store: Store, cap: int) -> DataFrame:
+    """The catalog is cut to `cap` names by name, so what each LIST is joined with is bounded."""
+    rows = catalog.capped(catalog.listing(store.manifests), cap)
+    turn = F.row_number().over(Window.partitionBy("verb").orderBy("name"))
+    rows = rows.select(F.lit("LIST").alias("verb"), "name", F.concat_ws(" ", "name", F.col("versions").cast("string"), F.col("latest_size").cast("string")).alias("shown")).withColumn("turn", turn)
+    asked = asked.filter(F.col("verb") == "LIST").select("seq", "verb")
+    counts = rows.groupBy("verb").agg(F.count("*").alias("n"))
+    counted = asked.join(F.broadcast(counts), "verb", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    head = _answer(counted, F.format_string("OK %d files", "n"))
+    return head.unionByName(_answer(asked.join(F.broadcast(rows), "verb"), F.col("shown"), F.col("turn"))).unionByName(_answer(counted, F.lit("END"), F.col("n") + 1))
+
+
+def _history(asked: DataFrame, store: Store) -> DataFrame:
+    asked = asked.filter(F.col("verb") == "HISTORY").select("seq", F.col("argument").alias("name"))
+    named = asked.filter(F.col("name") != "")
+    top = store.manifests.groupBy("name").agg(F.max("version").alias("top"))
+    known = named.join(top, "name", "left")
+    total = F.format_string("OK %d versions", "top")
+    head = _answer(known, F.when(F.col("top").isNull(), "ERR No versions found for file").otherwise(total))
+    shown = F.format_string("v%d %d %d %d", "version", "file_size", "num_chunks", "timestamp")
+    rows = _answer(named.join(store.manifests.drop("chunk_hashes"), "name"), shown, F.col("version"))
+    out = head.unionByName(rows).unionByName(_answer(known.filter(F.col("top").isNotNull()), F.lit("END"), F.col("top") + 1))
+    return out.unionByName(_answer(asked.filter(F.col("name") == ""), F.lit("ERR Missing filename for HISTORY")))
+
+
+def _chunk(asked: DataFrame, store: Store) -> DataFrame:
+    """HAS_CHUNK and GET_CHUNK; the body of a chunk is a line of hex digits. Digests count whatever their case."""
+    asked = asked.filter(F.col("verb").isin("HAS_CHUNK", "GET_CHUNK")).select("seq", "verb", F.lower("argument").alias("hash"), has_digest_length(F.col("argument")).alias("valid"))
+    bad = _answer(asked.filter(~F.col("valid")), F.lit("ERR Invalid hash"))
+    has = asked.filter(F.col("valid") & (F.col("verb") == "HAS_CHUNK"))
+    found = has.join(has_chunk(has, store.chunks), "hash")
+    got = asked.filter(F.col("valid") & (F.col("verb") == "GET_CHUNK"))
+    held = chunks_of(store, got)
+    sizes = got.join(held.select("hash", "size"), "hash", "left")
+    head = F.when(F.col("size").isNull(), "ERR Chunk not found").otherwise(F.format_string("OK %d", "size"))
+    body = _answer(got.join(held.select("hash", "data"), "hash"), F.lower(F.hex("data")), 1)
+    return bad.unionByName(_answer(found, F.format_string("OK %d", F.col("present").cast("int")))).unionByName(_answer(sizes, head)).unionByName(body)
+
+
+def _meta(asked: DataFrame, store: Store) -> DataFrame:
+    asked = asked.filter(F.col("verb") == "GET_META").select("seq", _word(0).alias("name"), _word(1).alias("number"))
+    valid = F.col("number").isNull() | F.col("number").rlike(f"^{NUMBER}$")
+    version = F.coalesce(F.when(F.col("number").isNull(), F.lit(-1)).otherwise(F.expr("try_cast(number as bigint)")), F.lit(0)).cast("bigint")
+    named = asked.filter(F.col("name").isNotNull() & valid).select("seq", "name", version.alias("version"))
+    found = catalog.resolved(store.manifests, named.select("name", "version").distinct())
+    rows = named.withColumnRenamed("version", "asked").join(found, ["name", "asked"], "left")
+    head = F.when(F.col("version").isNull(), "ERR File or version not found").otherwise(F.format_string("OK %d %d %d %d", "version", "file_size", "num_chunks", "timestamp"))
+    there = rows.filter(F.col("version").isNotNull())
+    hashes = there.select("seq", F.posexplode("chunk_hashes").alias("i", "hash"))
+    out = _answer(rows, head).unionByName(_answer(hashes, F.col("hash"), F.col("i") + 1)).unionByName(_answer(there, F.lit("END"), F.size("chunk_hashes") + 1))
+    wrong = F.when(F.col("name").isNull(), "ERR Missing filename for GET_META").when(~valid, "ERR Invalid GET_META arguments")
+    return out.unionByName(_answer(asked, wrong).filter(F.col("line").isNotNull()))
+
+
+def replies(commands: DataFrame, store: Store, list_cap: int = WIRE_LIST_CAP, verbs: tuple[str, ...] = VERBS) -> DataFrame:
+    """seq, row, line: the answers to command lines (seq, line) that change nothing. verbs: those that may occur, so that others cost nothing."""
+    asked = _parsed(commands)
+    out = [_plain(asked)]
+    for names, answer in ((("LIST",), lambda: _list(asked, store, list_cap)), (("HISTORY",), lambda: _history(asked, store)), (("HAS_CHUNK", "GET_CHUNK"), lambda: _chunk(asked, store)), (("GET_META",), lambda: _meta(asked, store))):
+        if set(names) & set(verbs):
+            out.append(answer())
+    made = out[0]
+    for x in out[1:]:
+        made = made.unionByName(x)
+    return made
+
+
+def stored(commands: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """The answers to STORE_CHUNK lines (seq, line, body: binary), and the chunks that the store gets."""
+    asked = _parsed(commands).filter(F.col("verb") == "STORE_CHUNK").select("seq", _word(0).alias("hash"), _word(1).alias("length"), F.coalesce("body", F.lit(b"")).alias("body"))
+    asked = asked.withColumn("size", F.when(F.col("length").rlike("^[0-9]+$"), F.expr("try_cast(length as bigint)")))
+    data = F.col("body").substr(F.lit(1), F.least(F.col("size"), F.lit(CHUNK_SIZE)).cast("int"))
+    asked = asked.withColumn("data", data).withColumn("own", digest(F.col("data")))
+    wrong = F.when(F.col("hash").isNull(), "ERR Missing arguments for STORE_CHUNK").when(F.col("size").isNull() | ~has_digest_length(F.col("hash")), "ERR Invalid STORE_CHUNK format")
+    wrong = wrong.when(F.col("size") > CHUNK_SIZE, "ERR Chunk exceeds maximum size").when(~same_digest(F.col("own"), F.col("hash")) | (F.octet_length("data") != F.col("size")), "ERR Hash mismatch")
+    fine = asked.filter(wrong.isNull()).select(F.col("own").alias("hash"), F.col("size").alias("n"), "data")
+    return _answer(asked, F.coalesce(wrong, F.lit("OK"))), new_chunks(fine, store.chunks)
+
+
+def uploaded(commands: DataFrame, store: Store, most_chunks: int = MOST_CHUNKS) -> tuple[DataFrame, DataFrame]:
+    """The answers to UPLOAD_META lines (seq, line, timestamp, lines: the chunk list and its END), and the manifests that the store gets.
+
+    The receiver numbers versions, those of one name in the order of seq.
+    """
+    asked = _parsed(commands).filter(F.col("verb") == "UPLOAD_META").select("seq", "timestamp", _word(0).alias("name"), _word(1).alias("bytes"), _word(2).alias("many"), F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x: F.trim(x)).alias("lines"))
+    number = lambda c: F.when(F.col(c).rlike(f"^{NUMBER}$"), F.expr(f"try_cast({c} as bigint)"))
+    asked = asked.withColumn("file_size", number("bytes")).withColumn("num_chunks", number("many"))
+    within = F.greatest(F.least(F.col("num_chunks"), F.lit(most_chunks)), F.lit(0)).cast("int")
+    asked = asked.withColumn("chunk_hashes", F.transform(F.slice("lines", F.lit(1), within), lambda h: F.lower(h)))
+    listed = (F.size("chunk_hashes") == F.col("num_chunks")) & F.forall("chunk_hashes", has_digest_length) & F.coalesce(F.upper(F.get("lines", within)) == "END", F.lit(False))
+    wrong = F.when(F.col("name").isNull(), "ERR Missing arguments for UPLOAD_META").when(F.col("file_size").isNull() | F.col("num_chunks").isNull(), "ERR Invalid UPLOAD_META format")
+    wrong = wrong.when(~F.col("num_chunks").between(0, most_chunks), "ERR Invalid chunk count").when(~listed, "ERR Failed reading chunk list")
+    asked = asked.withColumn("wrong", wrong)
+    lists = asked.filter(F.col("wrong").isNull()).select(F.col("name"), F.col("seq").alias("version"), "chunk_hashes")
+    lacking = missing_of(lists, store.chunks).select(F.col("version").alias("seq")).distinct().withColumn("lacks", F.lit("ERR Incomplete upload: missing chunks"))
+    asked = asked.join(lacking, "seq", "left").withColumn("wrong", F.coalesce("wrong", "lacks"))
+    ok = asked.filter(F.col("wrong").isNull())
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("seq")) - 1
+    turns = ok.select("seq", "name", turn.alias("turn")).join(catalog.next_versions(store.manifests, ok), "name").select("seq", (F.col("next_version") + F.col("turn")).alias("version"))
+    told = asked.select("seq", "wrong").join(turns, "seq", "left")
+    taken = ok.join(turns, "seq").select("name", "version", "num_chunks", "file_size", "timestamp", "chunk_hashes")
+    return _answer(told, F.coalesce("wrong", F.format_string("OK %d", "version"))), taken
 
 
 class Session:
-    """Answers command lines from a store, and keeps what they change. One writer; each answer is a list of lines.
+    """Answers command lines from a store one by one, and keeps what they change. One writer; each answer is a list of lines.
 
     An interactive façade: an answer is collected by the driver, as one client
     asks for one answer. Whole catalogs and stores are handled by the operators instead.
+    What it was sent is held by the driver until the session ends, in one table of either kind.
     """
 
     def __init__(self, spark: SparkSession, store: Store, clock=lambda: 0, list_cap: int = WIRE_LIST_CAP):
-        self.spark, self.store, self.clock, self.list_cap = spark, store, clock, list_cap
-        self.open = True
+        self.spark, self.base, self.clock, self.list_cap = spark, store, clock, list_cap
+        self.chunks, self.manifests, self.open = [], [], True
+
+    @property
+    def store(self) -> Store:
+        manifests, chunks = self.base.manifests, self.base.chunks
+        if self.manifests:
+            manifests = manifests.unionByName(self.spark.createDataFrame(self.manifests, MANIFESTS))
+        if self.chunks:
+            chunks = chunks.unionByName(self.spark.createDataFrame(self.chunks, CHUNKS).select(*chunks.columns))
+        return Store(manifests, chunks)
 
     def execute(self, line: str, body: bytes | list[str] | None = None) -> list[str]:
-        line = line.strip()
-        if not line:
-            return []
-        verb, _, argument = line.partition(" ")
-        argument = argument.strip()
-        answer = getattr(self, f"_{verb.lower()}", None) if verb.upper() in VERBS else None
-        if answer is None:
-            return [f"ERR Unknown command: {line}"]
-        return list(answer(argument, body))
-
-    def _ping(self, argument: str, _) -> Iterator[str]:
-        yield f"PONG {argument}" if argument else "PONG"
-
-    def _info(self, *_) -> Iterator[str]:
-        yield f"OK {PRODUCT} {VERSION} (chunk_size={CHUNK_SIZE}, default_port={DEFAULT_PORT})"
-
-    def _help(self, *_) -> Iterator[str]:
-        yield "OK Supported commands: " + ", ".join(VERBS[:-1])
-
-    def _list(self, *_) -> Iterator[str]:
-        rows = catalog.capped(catalog.listing(self.store.manifests), self.list_cap).collect()
-        yield f"OK {len(rows)} files"
-        yield from (f"{r['name']} {r['versions']} {r['latest_size']}" for r in rows)
-        yield "END"
-
-    def _history(self, argument: str, _) -> Iterator[str]:
-        if not argument:
-            yield "ERR Missing filename for HISTORY"
-            return
-        rows = catalog.history(self.store.manifests, argument).collect()
-        if not rows:
-            yield "ERR No versions found for file"
-            return
-        yield f"OK {rows[-1]['version']} versions"
-        yield from (f"v{r['version']} {r['file_size']} {r['num_chunks']} {r['timestamp']}" for r in rows)
-        yield "END"
-
-    def _has_chunk(self, argument: str, _) -> Iterator[str]:
-        if len(argument) != 64:
-            yield "ERR Invalid hash"
-            return
-        asked = self.spark.createDataFrame([(argument,)], "hash string")
-        yield f"OK {int(has_chunk(asked, self.store.chunks).head()['present'])}"
-
-    def _store_chunk(self, argument: str, body) -> Iterator[str]:
-        parts = argument.split()
-        if not parts:
-            yield "ERR Missing arguments for STORE_CHUNK"
-        elif len(parts) < 2 or len(parts[0]) != 64 or not parts[1].isdigit():
-            yield "ERR Invalid STORE_CHUNK format"
-        elif int(parts[1]) > CHUNK_SIZE:
-            yield "ERR Chunk exceeds maximum size"
-        else:
-            data = bytes(body or b"")[: int(parts[1])]
-            found = hashlib.sha256(data).hexdigest()
-            if found != parts[0].lower() or len(data) != int(parts[1]):
-                yield "ERR Hash mismatch"
-                return
-            if self._has_chunk_now(found) is False:
-                row = self.spark.createDataFrame([(found, len(data), bytearray(data), found[:2])], "hash string, size bigint, data binary, prefix string")
-                self.store = Store(self.store.manifests, self.store.chunks.unionByName(row.select(*self.store.chunks.columns)))
-            yield "OK"
-
-    def _has_chunk_now(self, hash_: str) -> bool:
-        return not self.store.chunks.filter((F.col("prefix") == hash_[:2]) & (F.col("hash") == hash_)).isEmpty()
-
-    def _get_chunk(self, argument: str, _) -> Iterator[str]:
-        if len(argument) != 64:
-            yield "ERR Invalid hash"
-            return
-        row = self.store.chunks.filter((F.col("prefix") == argument[:2]) & (F.col("hash") == argument)).select("data").head()
-        if row is None:
-            yield "ERR Chunk not found"
-            return
-        yield f"OK {len(row['data'])}"
-        yield bytes(row["data"]).hex()
-
-    def _get_meta(self, argument: str, _) -> Iterator[str]:
-        parts = argument.split()
-        if not parts:
-            yield "ERR Missing filename for GET_META"
-            return
-        version = -1
-        if len(parts) > 1:
-            if not parts[1].lstrip("-").isdigit():
-                yield "ERR Invalid GET_META arguments"
-                return
-            version = int(parts[1])
-        asked = self.spark.createDataFrame([(parts[0], version)], "name string, version bigint")
-        row = catalog.resolved(self.store.manifests, asked).head()
-        if row is None:
-            yield "ERR File or version not found"
-            return
-        yield f"OK {row['version']} {row['file_size']} {row['num_chunks']} {row['timestamp']}"
-        yield from row["chunk_hashes"]
-        yield "END"
-
-    def _upload_meta(self, argument: str, body) -> Iterator[str]:
-        parts = argument.split()
-        if not parts:
-            yield "ERR Missing arguments for UPLOAD_META"
-            return
-        if len(parts) < 3 or not parts[1].isdigit() or not parts[2].lstrip("-").isdigit():
-            yield "ERR Invalid UPLOAD_META format"
-            return
-        if not 0 <= int(parts[2]) <= MOST_CHUNKS:
-            yield "ERR Invalid chunk count"
-            return
-        lines = [x.strip() for x in body or []]
-        hashes = lines[:-1] if lines and lines[-1].upper() == "END" else lines
-        offered = self.spark.createDataFrame([(parts[0], int(parts[2]), int(parts[1]), int(self.clock()), hashes)], "name string, num_chunks bigint, file_size bigint, timestamp bigint, chunk_hashes array<string>")
-        row = commit_status(self.store, offered).head()
-        if row["status"] == "ok":
-            taken = self.spark.createDataFrame(committed(self.store, offered).collect(), self.store.manifests.schema)
-            self.store = Store(self.store.manifests.unionByName(taken), self.store.chunks)
-            yield f"OK {row['new_version']}"
+        verb = line.strip().partition(" ")[0].upper()
+        if verb == "STORE_CHUNK":
+            asked = self.spark.createDataFrame([(0, line, bytearray(body or b""))], "seq bigint, line string, body binary")
+            told, new = stored(asked, self.store)
+            self.chunks += new.select("hash", "size", "data", "prefix").collect()
+        elif verb == "UPLOAD_META":
+            asked = self.spark.createDataFrame([(0, line, int(self.clock()), list(body or []))], "seq bigint, line string, timestamp bigint, lines array<string>")
+            told, new = uploaded(asked, self.store)
+            told = self.spark.createDataFrame(told.collect(), REPLIES)  # before the store changes
+            self.manifests += new.collect()
         else:
-            yield {"missing chunks": "ERR Incomplete upload: missing chunks", "failed reading chunk list": "ERR Failed reading chunk list"}.get(row["status"], "ERR Invalid UPLOAD_META format")
-
-    def _quit(self, *_) -> Iterator[str]:
-        self.open = False
-        yield "BYE"
-
-    _exit = _quit
+            told = replies(self.spark.createDataFrame([(0, line)], "seq bigint, line string"), self.store, self.list_cap, (verb,))
+        self.open = self.open and verb not in ("QUIT", "EXIT")
+        return [r["line"] for r in told.orderBy("row").collect()]
 
 
 def run_script(session: Session, commands: list[str]) -> list[list[str]]:

@@ -11,7 +11,10 @@ from cairn.functions import scalars
 from cairn.operators import catalog, chunking, lifecycle, retrieve, sync
 from cairn.operators.lifecycle import Store
 from cairn.plans import datasets, protocol
-from cairn.sources import metatext
+from cairn.schema import CHUNKS, MANIFESTS
+from cairn.session import shared_folder
+from cairn.sources import files, metatext
+from cairn.sources.store import ParquetStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +66,10 @@ def listed(manifests: DataFrame) -> DataFrame:
     return manifests.select("name", "version", "num_chunks", "file_size", "timestamp", F.sha2(F.array_join("chunk_hashes", ","), 256).alias("list_digest"))
 
 
+def empty_store(spark: SparkSession) -> Store:
+    return Store(spark.createDataFrame([], MANIFESTS), spark.createDataFrame([], CHUNKS))
+
+
 def names_of(spark: SparkSession, *rows: tuple, schema: str = "name string") -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
@@ -152,7 +159,7 @@ def resolve_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sized_sql(SOURCES) + ", t as (select name, max(version) as top from m group by name), q as (select name, 3 as asked from t union all select name, -1 from t union all select name, 1000000000 from t) select q.name, asked::bigint as asked, m.version, num_chunks, file_size, ts as timestamp from q join t on t.name = q.name join m on m.name = q.name and m.version = case when asked = -1 then top else asked end")
 def resolve_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifests = datasets.sized(datasets.sources(spark, sf_dir))
+    manifests = datasets.sources(spark, sf_dir)
     asked = catalog.names(manifests).withColumn("version", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (3, -1, 1_000_000_000)])))
     return catalog.resolved(manifests, asked)
 
@@ -169,7 +176,7 @@ def history_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sized_sql(SOURCES) + " select name, version, file_size from (select *, row_number() over (partition by name order by version) as r from m) where r <= 2")
 def version_list_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.version_list(datasets.sized(datasets.sources(spark, sf_dir)), 2).select("name", "version", "file_size")
+    return catalog.version_list(datasets.sources(spark, sf_dir), 2).select("name", "version", "file_size")
 
 
 LISTING = " select name, max(version) as versions, max(version) || case when max(version) = 1 then ' version' else ' versions' end as version_label, arg_max(file_size, version) as latest_size, {label} as size_label from m group by name"
@@ -182,7 +189,7 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sized_sql(SOURCES) + LISTING.format(label=label_sql("arg_max(file_size, version)", True)))
 def remote_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.listing(datasets.sized(datasets.sources(spark, sf_dir)), gigabytes=True)
+    return catalog.listing(datasets.sources(spark, sf_dir), gigabytes=True)
 
 
 @query(sized_sql(CONVERSATIONS) + LISTING.format(label=label_sql("arg_max(file_size, version)")) + " order by name limit 10")
@@ -269,7 +276,7 @@ def fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cut_sql(DOCUMENTS) + "select name, version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m union all select name, 2, num_chunks, file_size, ts, sha256(list) from m")
 def upload_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = Store(spark.createDataFrame([], "name string, version bigint, num_chunks bigint, file_size bigint, timestamp bigint, chunk_hashes array<string>"), spark.createDataFrame([], "hash string, size bigint, data binary, prefix string"))
+    empty = empty_store(spark)
     files = datasets.documents(spark, sf_dir).drop("version")
     once = lifecycle.added(empty, lifecycle.upload(empty, files, datasets.CHUNK))
     twice = lifecycle.added(once, lifecycle.upload(once, files, datasets.CHUNK))
@@ -289,7 +296,7 @@ def commit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.commit_status(node, node.manifests.withColumn("num_chunks", count.cast("bigint")))
 
 
-@query(cut_sql(DOCUMENTS) + "select name, version + 1 as version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m where name::bigint % 3 = 0")
+@query(cut_sql(DOCUMENTS) + "select name, version + 1 as version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m")
 def remote_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, other = datasets.two_nodes(spark, sf_dir)
     files = datasets.documents(spark, sf_dir).drop("version")
@@ -346,3 +353,143 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond what was asked for: what keeping each chunk once saves."""
     each = chunking.slices(datasets.documents(spark, sf_dir), datasets.CHUNK).groupBy("hash").agg(F.count("*").alias("uses"), F.max("n").alias("n"))
     return each.agg(F.sum("uses").alias("n_chunks"), F.count("*").alias("n_distinct"), F.sum(F.col("uses") * F.col("n")).cast("bigint").alias("logical_bytes"), F.sum("n").cast("bigint").alias("physical_bytes"))
+
+
+NAMED = f"select lang as name, source || '/' || lang as path, {STAMP} + doc_id % 7 as ts, encode(text) as bb from documents where lang <> '' and source is not null and text is not null"
+
+
+@query(cut_sql(f"select name, row_number() over (partition by name order by ts, path, sha256(bb)) as version, ts, bb from ({NAMED})") + "select name, version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m")
+def upload_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one upload, under the base name of its path: its language."""
+    rows = datasets.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang").alias("name"), (F.lit(STAMP) + F.col("doc_id") % 7).alias("timestamp"), datasets.payload("text").alias("data"))
+    return listed(lifecycle.upload(empty_store(spark), rows, datasets.CHUNK).manifests)
+
+
+@query(f"select name, version, doc % 5 <> 0 as delivered, case when doc % 5 <> 0 then sha256(bb) end as hash from (select *, name::bigint as doc from ({DOCUMENTS}))")
+def remote_download_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receiver whose chunks of some documents are damaged, and a sender whose manifests of some tell a wrong size: what arrives, for each manifest."""
+    node, other = datasets.two_nodes(spark, sf_dir)
+    spoilt = F.when(F.substring("hash", 1, 1) < "8", F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("data"))
+    wrong = F.col("name").cast("bigint") % 5 == 0
+    manifests = other.manifests.withColumn("file_size", F.col("file_size") + F.when(wrong, 1).otherwise(0))
+    found, _ = sync.remote_download(Store(node.manifests, node.chunks.withColumn("data", spoilt)), other, manifests)
+    found = found.select("name", "version", scalars.digest(F.col("data")).alias("hash"))
+    return manifests.select("name", "version").join(found, ["name", "version"], "left").select("name", "version", F.col("hash").isNotNull().alias("delivered"), "hash")
+
+
+@query(cut_sql(DOCUMENTS) + "select hash, any_value(n) as size, sha256(any_value(d)) = hash as sound from ch where hash in (select hash from a) group by hash")
+def chunk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that one node lists, asked for by upper-case digest where the other has half of them."""
+    node, other = datasets.two_nodes(spark, sf_dir)
+    found = retrieve.chunks_of(node, other.chunks.select(F.upper("hash").alias("hash")))
+    return found.select("hash", "size", (scalars.digest(F.col("data")) == F.col("hash")).alias("sound"))
+
+
+@query(cut_sql(PAGES.replace("url as name", "cast(page_id as varchar) as name")) + "select m.name, m.version, num_chunks, file_size, sha256(list) as list_digest, ch.hash as first_chunk, ch.n as first_size from m join ch on ch.name = m.name and ch.idx = 0")
+def written_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store committed to disk, loaded again, and read: manifests, and the first chunk of each."""
+    node = ParquetStore(spark, shared_folder(spark, "store"))
+    pages = datasets.pages(spark, sf_dir).select((F.col("timestamp") - STAMP).cast("string").alias("name"), "timestamp", "data")
+    store = node.commit(lifecycle.upload(node.load(), pages, datasets.CHUNK))
+    first = store.manifests.select("name", "version", "num_chunks", "file_size", F.sha2(F.array_join("chunk_hashes", ","), 256).alias("list_digest"), F.col("chunk_hashes")[0].alias("hash"))
+    found = retrieve.chunks_of(store, first).select("hash", scalars.digest(F.col("data")).alias("first_chunk"), F.octet_length("data").cast("bigint").alias("first_size"))
+    return first.join(found, "hash").drop("hash")
+
+
+@query("select page_id || '.v1' as name, octet_length(encode(html))::bigint as n, sha256(encode(html)) as hash, greatest((octet_length(encode(html)) + 1023) // 1024, 1)::bigint as slices from pages")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads written as files slice by slice, and read again: whole files' digests, and the slices of each."""
+    folder = shared_folder(spark, "files").removeprefix("file://")
+    rows = datasets.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.lit(1).alias("version"), datasets.payload("html").alias("data"))
+    files.write_payloads(chunking.slices(rows, datasets.CHUNK), folder)
+    cut = files.read_slices(spark, folder, datasets.CHUNK).groupBy("path", "name").agg(F.count("*").alias("slices"))
+    return cut.join(files.file_digests(cut), "path").select("name", "n", "hash", "slices")
+
+
+ASKED = """, asked as (select c.conv_id * 1000 + c.turn as seq, cast(c.conv_id as varchar) as name, c.turn::bigint as turn, c.role, (c.conv_id + c.turn) % 8 as kind, ch.hash, ch.d, ch.n
+from conversations c join ch on ch.name = cast(c.conv_id as varchar) and ch.version = c.turn + 1 and ch.idx = 0),
+top as (select name, max(version) as top from m group by name),
+meta as (select asked.seq, m.* from asked join top on top.name = asked.name left join m on m.name = asked.name and m.version = case when kind = 5 then top else asked.turn end where kind in (2, 5))
+"""
+
+
+@query(
+    cut_sql(CONVERSATIONS)
+    + ASKED
+    + """select seq, 0::bigint as row, 'PONG ' || role as line from asked where kind = 0
+union all select seq, 0, 'OK ' || top || ' versions' from asked join top on top.name = asked.name where kind = 1
+union all select seq, m.version, 'v' || m.version || ' ' || file_size || ' ' || num_chunks || ' ' || ts from asked join m on m.name = asked.name where kind = 1
+union all select seq, top + 1, 'END' from asked join top on top.name = asked.name where kind = 1
+union all select seq, 0, case when name is null then 'ERR File or version not found' else 'OK ' || version || ' ' || file_size || ' ' || num_chunks || ' ' || ts end from meta
+union all select seq, idx + 1, hash from meta join ch on ch.name = meta.name and ch.version = meta.version
+union all select seq, num_chunks + 1, 'END' from meta where name is not null
+union all select seq, 0, 'OK 1' from asked where kind = 3
+union all select seq, 0, 'OK ' || n from asked where kind = 4
+union all select seq, 1, lower(hex(d)) from asked where kind = 4
+union all select seq, 0, 'OK 0' from asked where kind = 6
+union all select seq, 0, case when turn % 2 = 0 then 'ERR Unknown command: nonsense' else 'ERR Invalid GET_META arguments' end from asked where kind = 7"""
+)
+def replies_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command for each turn of the conversations, answered from the store of all of them."""
+    turns = datasets.conversations(spark, sf_dir)
+    cut = chunking.slices(turns, datasets.CHUNK)
+    first = cut.filter(F.col("idx") == 0).select("name", "version", "hash")
+    rows = datasets.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("name", F.col("conv_id").cast("string")).withColumn("version", F.col("turn") + 1)
+    rows = rows.join(first, ["name", "version"])
+    kind, turn = (F.col("conv_id") + F.col("turn")) % 8, F.col("turn").cast("string")
+    said = lambda verb, *more: F.concat_ws(" ", F.lit(verb), *more)
+    line = F.when(kind == 0, said("ping", "role")).when(kind == 1, said("HISTORY", "name")).when(kind == 2, said("get_meta", "name", turn))
+    line = line.when(kind == 3, said("HAS_CHUNK", F.upper("hash"))).when(kind == 4, said("GET_CHUNK", "hash")).when(kind == 5, said("GET_META", "name"))
+    line = line.when(kind == 6, said("HAS_CHUNK", F.sha2(F.encode(F.concat_ws("/", "name", turn), "UTF-8"), 256)))
+    line = line.when(F.col("turn") % 2 == 0, "nonsense").otherwise(said("GET_META", "name", F.lit("--5")))
+    return protocol.replies(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), line.alias("line")), datasets.store(turns))
+
+
+@query(
+    sized_sql(CONVERSATIONS)
+    + """, l as (select name, max(version) as versions, arg_max(file_size, version) as latest from m group by name order by name limit 128), c as (select count(*) as n from l), s as (select unnest([1, 2])::bigint as seq)
+select seq, 0::bigint as row, 'OK ' || n || ' files' as line from s, c union all select seq, row_number() over (partition by seq order by name), name || ' ' || versions || ' ' || latest from s, l union all select seq, n + 1, 'END' from s, c"""
+)
+def replies_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIST, asked twice; the wire's cap of 128 names is the feature."""
+    asked = spark.createDataFrame([(1, "LIST"), (2, " list ")], "seq bigint, line string")
+    manifests = datasets.sized(datasets.conversations(spark, sf_dir))
+    return protocol.replies(asked, Store(manifests.withColumn("chunk_hashes", F.lit(None).cast("array<string>")), spark.createDataFrame([], CHUNKS)), verbs=("LIST",))
+
+
+@query(
+    cut_sql(PAGES)
+    + """select page_id * 2 + s as seq, 0::bigint as row, case when s = 1 and page_id % 4 = 0 then 'ERR Hash mismatch' when s = 1 and page_id % 4 = 1 then 'ERR Chunk exceeds maximum size'
+when s = 1 and page_id % 4 = 2 then 'ERR Invalid STORE_CHUNK format' when s = 1 then 'ERR Missing arguments for STORE_CHUNK' else 'OK' end as line, (select count(distinct hash) from ch where idx = 0)::bigint as added
+from pages, (select unnest([0, 1])::bigint as s)"""
+)
+def replies_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunk of each page sent twice, once in order and once with a fault; and how many chunks the store gets."""
+    first = chunking.slices(datasets.pages(spark, sf_dir).withColumn("page_id", F.col("timestamp") - STAMP), datasets.CHUNK).filter(F.col("idx") == 0)
+    good = first.select((F.col("page_id") * 2).alias("seq"), F.concat_ws(" ", F.lit("store_chunk"), F.upper("hash"), F.col("n").cast("string")).alias("line"), F.col("data").alias("body"))
+    kind, length = F.col("page_id") % 4, F.col("n").cast("string")
+    line = F.when(kind == 0, F.concat_ws(" ", F.lit("STORE_CHUNK"), F.reverse("hash"), length)).when(kind == 1, F.concat_ws(" ", F.lit("STORE_CHUNK"), "hash", F.lit("4194305")))
+    line = line.when(kind == 2, F.concat_ws(" ", F.lit("STORE_CHUNK"), "hash", F.lit("²"))).otherwise("STORE_CHUNK")
+    bad = first.select((F.col("page_id") * 2 + 1).alias("seq"), line.alias("line"), F.col("data").alias("body"))
+    told, new = protocol.stored(good.unionByName(bad), empty_store(spark))
+    return told.join(F.broadcast(new.agg(F.count("*").alias("added"))))
+
+
+@query(
+    cut_sql(DOCUMENTS)
+    + """, lacks as (select distinct name from ch where hash not in (select hash from a)),
+s as (select m.*, name::bigint * 2 + s as seq, s, name::bigint % 7 as kind, name in (select name from lacks) as lacking from m, (select unnest([0, 1])::bigint as s))
+select seq, 0::bigint as row, case when kind = 0 then 'ERR Invalid chunk count' when kind = 1 then 'ERR Failed reading chunk list' when kind = 2 and s = 0 then 'ERR Invalid UPLOAD_META format' when lacking then 'ERR Incomplete upload: missing chunks'
+else 'OK ' || (version + case when kind = 2 then 1 else s + 1 end) end as line from s"""
+)
+def replies_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of each document sent twice to a node that has half of the chunks, some with faults."""
+    node, _ = datasets.two_nodes(spark, sf_dir)
+    rows = node.manifests.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("s"))
+    kind = F.col("name").cast("bigint") % 7
+    many = F.when(kind == 0, F.lit(5000)).otherwise(F.col("num_chunks")).cast("string")
+    length = F.when((kind == 2) & (F.col("s") == 0), "--5").otherwise(F.col("file_size").cast("string"))
+    lines = F.transform("chunk_hashes", lambda h: F.upper(h))
+    lines = F.when(kind == 1, lines).otherwise(F.concat(lines, F.array(F.lit("end"))))
+    asked = rows.select((F.col("name").cast("bigint") * 2 + F.col("s")).alias("seq"), F.concat_ws(" ", F.lit("UPLOAD_META"), "name", length, many).alias("line"), "timestamp", lines.alias("lines"))
+    return protocol.uploaded(asked, node)[0]

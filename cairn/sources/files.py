@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -82,6 +83,17 @@ def digest_of_file(path: str, buffer: int = 1 << 20) -> str:
     return out.hexdigest()
 
 
+def file_digests(found: DataFrame) -> DataFrame:
+    """path, n, hash of the files that found (path) names, each read where its task runs, buffer by buffer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([os.path.getsize(p) for p in paths], pa.int64()), pa.array([digest_of_file(p) for p in paths], pa.string())], names=["path", "n", "hash"])
+
+    return found.select("path").mapInArrow(run, "path string, n bigint, hash string")
+
+
 def write_payloads(found: DataFrame, folder: str) -> None:
     """Writes slices (name, version, idx, data) as folder/name.vN, slice by slice: a temporary file, then a rename. folder is one that all executors see."""
 

@@ -118,6 +118,45 @@ def test_two_stores(spark, three, empty):
     assert sorted(r["present"] for r in sync.has_chunk(spark.createDataFrame([("f" * 64,), (hashlib.sha256(b"thir").hexdigest(),)], "hash string"), three.chunks).collect()) == [False, True]
 
 
+def test_remote_download_repairs_and_refuses(spark, three):
+    spoilt = Store(three.manifests, three.chunks.withColumn("data", F.when(F.col("hash") == hashlib.sha256(b"thir").hexdigest(), F.encode(F.lit("????"), "UTF-8")).otherwise(F.col("data"))))
+    wanted = three.manifests.filter("name = 'a' and version = 3")
+    found, cache = sync.remote_download(spoilt, three, wanted)
+    assert bytes(found.head()["data"]) == b"third"
+    assert bytes(retrieve.chunk(cache, hashlib.sha256(b"thir").hexdigest().upper()).head()["data"]) == b"thir" and cache.chunks.count() == three.chunks.count()
+    assert sync.remote_download(spoilt, spoilt, wanted)[0].isEmpty()
+    assert sync.remote_download(three, three, wanted.withColumn("file_size", F.lit(99).cast("bigint")))[0].isEmpty()
+
+
+def test_one_name_several_times_in_an_upload(spark, three):
+    rows = source(spark, ("x/a", 5, b"newer"), ("y/a", 4, b"older"), ("x/a", 5, b"newer"), ("y/a", 5, b"other"), ("z", 1, b""))
+    new = lifecycle.upload(three, rows, 4)
+    store = fixed(spark, lifecycle.added(three, new))
+    got = {(r["name"], r["version"]): bytes(r["data"]) for r in retrieve.download(store).collect()}
+    assert [got["a", v] for v in (4, 5, 6, 7)] == [b"older", b"newer", b"newer", b"other"] and got["z", 1] == b"" and len(got) == 9
+
+
+def test_arguments(three):
+    for call in (lambda: retrieve.chunk(three, "abc"), lambda: catalog.history(three.manifests, ""), lambda: catalog.version_list(three.manifests, 0), lambda: catalog.capped(three.manifests, 0)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_odd_protocol_lines(spark, three):
+    s = Session(spark, three, clock=lambda: 1)
+    h = hashlib.sha256(b"thir").hexdigest()
+    for number in ("--5", "²", "5-", "+-1"):
+        assert s.execute(f"GET_META a {number}") == ["ERR Invalid GET_META arguments"]
+        assert s.execute(f"UPLOAD_META a {number} 1", [h, "END"]) == ["ERR Invalid UPLOAD_META format"]
+        assert s.execute(f"STORE_CHUNK {h} {number}", b"thir") == ["ERR Invalid STORE_CHUNK format"]
+    assert s.execute("GET_META a -1")[0] == "OK 3 5 2 102" and s.execute("GET_META a 99999999999999999999") == ["ERR File or version not found"]
+    assert s.execute("GET_META") == ["ERR Missing filename for GET_META"] and s.execute("UPLOAD_META") == ["ERR Missing arguments for UPLOAD_META"]
+    assert s.execute("UPLOAD_META a 4 1", [h]) == ["ERR Failed reading chunk list"] and s.execute("UPLOAD_META a 4 2", [h, "END"]) == ["ERR Failed reading chunk list"]
+    assert s.execute(f"HAS_CHUNK {h.upper()}") == ["OK 1"] and s.execute(f"GET_CHUNK {h.upper()}")[0] == "OK 4"
+    assert s.execute("UPLOAD_META a 4 1", [h.upper(), "end"]) == ["OK 4"] and s.execute("UPLOAD_META a 4 1", [h, "END"]) == ["OK 5"]
+    assert s.execute("help")[0].endswith("GET_META <file> [ver], UPLOAD_META <file> <size> <count>, HELP, QUIT")
+
+
 def test_protocol(spark, three, empty):
     assert Session(spark, empty).execute("LIST") == ["OK 0 files", "END"]
     s = Session(spark, three, clock=lambda: 42)
