@@ -5,20 +5,21 @@ equals): its anchor. Equal windows have equal anchors, so windows can only meet
 of their anchor's hash, and a run of windows with one anchor travels as one short string. Four
 passes, of which texts take part in three:
 
-1. blocks of documents send their anchors' hashes to buckets, each once; buckets
-   reply which hashes occur twice or more anywhere;
-2. blocks send the strings of these anchors, each distinct one once, with its first place;
-3. buckets find each string's first place overall. Where several strings have one anchor, they are put
-   in shards, each shard is transformed, and the shards' transforms are merged by refining their
-   interleave: each round doubles the number of symbols by which it is in order,
-   and its intervals are the suffixes with a common prefix of so many symbols. The intervals of
-   W symbols are the repeated windows; the first place of each stays;
+1. blocks of documents send their anchors' hashes to buckets; buckets find which occur twice or more
+   anywhere, from sums for each sender, and blocks learn which of theirs do;
+2. blocks send the strings of these anchors, each distinct one of a block once, with its first place;
+3. in buckets, the strings of one anchor are put in shards, each shard is transformed, and the shards'
+   transforms are merged by refining their interleave: a round takes the rows, in the order of their first d symbols,
+   s symbols back by the transform's steps, and deals them out by what they begin with, so they are in order by d + s
+   symbols. Where neighbours part, their common prefix follows from those of the round before. Intervals in
+   which neighbours share W symbols are the repeated windows; the first place of each stays. No suffix is compared
+   with another, and none is sorted again from its symbols;
 4. blocks mark what is covered, and cut it out.
 
 A block's request is answered in its order, so what is sent back is a few bits for a string.
-Blocks and buckets grow in number with the input, not in size: a block sends each distinct string
-once, and an anchor that is met too often (a passage that many documents share, each with a text of its own
-around it) is dealt out again, window by window, by the hash of each window.
+Blocks and buckets grow in number with the input, not in size. An anchor that is met too often (at the edges of a passage
+that many documents share, each with a text of its own around it) is dealt out again, window by window: the smallest place
+of each window's 128-bit digest is aggregated in part before it is sent, and only the block that holds it gets an answer.
 """
 
 from __future__ import annotations
@@ -36,10 +37,14 @@ from cairn.llm.common import durable, fresh, give_back, small_batches
 from cairn.llm.features import mixed
 
 GRAM = 32
-HOT_USES = 50_000
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 1 << 20
-#: Bits of a key that hold a gram's place, and symbols (of 9 bits) that fit in a word.
-PLACES, WORD = 1 << 24, 7
+HOT_USES = 4096
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 1 << 14
+#: Rows of a merge, if the strings of one anchor are not more: ranks fit in 16 bits, which sort by counting.
+MERGE_ROWS = 1 << 15
+#: Anchors that a task sends at once, and such sendings whose blocks are answered together.
+FLUSH, FLUSHES = 1_000_000, 64
+#: Bits of a key that hold a gram's place.
+PLACES = 1 << 24
 BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 MULTIPLIERS = np.random.default_rng(78).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 LAST = np.iinfo(np.int64).max
@@ -63,18 +68,18 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mixed(out)
 
 
-def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: the anchors' hashes, the first window and the end (of windows) of each run, and the anchor's place.
+def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the anchors' hashes, and the first window and the end (of windows) of each run.
 
     The smallest gram goes by the upper bits of its hash, then by its place, so the
     leftmost of equals is taken and a run never holds one window twice.
     """
     windows = data.size - width + 1
     if windows <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     if windows > PLACES // 2:  # places must fit in their bits
         parts = [(at, anchors(data[at : at + PLACES // 2 + width - 1], width, gram)) for at in range(0, windows, PLACES // 2)]
-        return tuple(np.concatenate([p[i] + at if i else p[i] for at, p in parts]) for i in range(4))
+        return tuple(np.concatenate([p[i] + at if i else p[i] for at, p in parts]) for i in range(3))
     h = gram_hashes(data, gram)
     least = (h & ~np.uint64(PLACES - 1)) | np.arange(h.size, dtype=np.uint64)
     per, size = width - gram + 1, 1
@@ -85,16 +90,40 @@ def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
         least = np.minimum(least[: size - per], least[per - size :])
     starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     place = (least[starts] & np.uint64(PLACES - 1)).astype(np.int64)
-    return h[place], starts, np.append(starts[1:], windows), place
+    return h[place], starts, np.append(starts[1:], windows)
 
 
-def ranked(key: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """An order of key, and its ranks: equal keys have equal ones."""
-    order = np.argsort(key, kind=kind)
-    sorted_ = key[order]
-    rank = np.empty(key.size, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([False], sorted_[1:] != sorted_[:-1])))
-    return order, rank
+def codes(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A number for each row's first two symbols, in their order; 16 bits if there are few enough."""
+    there = np.bincount(symbols, minlength=257) + np.bincount(after, minlength=257) > 0
+    dense = np.cumsum(there) - 1
+    many = int(dense[-1]) + 1
+    dense = dense.astype(np.uint16 if many * many <= 1 << 16 else np.int64)
+    return dense.take(symbols) * dense.dtype.type(many) + dense.take(after)
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from that of the row before."""
+    out = np.ones(keys[0].size, bool)
+    if keys[0].size > 1:
+        np.not_equal(keys[0][1:], keys[0][:-1], out=out[1:])
+        for k in keys[1:]:
+            out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def by_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of pairs of ranks, and the pairs in it."""
+    if first.dtype != np.uint16:
+        order = np.lexsort((second, first))
+        return order, first[order], second[order]
+    key = first.astype(np.uint64) << np.uint64(48) | second.astype(np.uint64) << np.uint64(32) | np.arange(first.size, dtype=np.uint64)
+    key.sort()  # all different, so no order is lost
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(48)).astype(np.uint16), (key >> np.uint64(32)).astype(np.uint16)
+
+
+def rank_type(rows: int) -> type:
+    return np.uint16 if rows <= 1 << 16 else np.int64
 
 
 def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,116 +131,138 @@ def transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     End symbols are smaller than all bytes, and the earlier string's is the smaller one.
     """
-    sizes = np.array([len(x) + 1 for x in shard])
+    sizes = np.fromiter(map(len, shard), np.int64, len(shard)) + 1
     ends = np.cumsum(sizes) - 1
-    text = np.frombuffer(b"".join(x + b"\0" for x in shard), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(shard) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     text[ends] = 0
-    n, at = text.size, np.arange(text.size)
-    left = np.repeat(ends, sizes) - at  # bytes before the end symbol
-    key = text.copy()
-    for i in range(1, min(WORD, n)):
-        key <<= 9
-        key[: n - i] |= np.where(left[: n - i] >= i, text[i:], 0)
-    order, rank = ranked(key)
-    size = WORD
+    n, string = text.size, np.repeat(np.arange(len(shard)), sizes)
+    left = (ends.take(string) - np.arange(n)).astype(np.int32)  # bytes before the end symbol
+    after = np.append(text[1:], np.uint16(0))
+    after[ends] = 0
+    key = codes(text, after)
+    order = np.argsort(key, kind="stable")
+    rank, slots, rows, new, seen = np.empty(n, rank_type(n)), np.arange(n), order, starts_of(key.take(order)), 2
     while True:
-        whole = left < size  # its end symbol is in sight: what is equal so far goes by string
-        ahead = np.minimum(at + size, n - 1)
-        key = rank * (2 * n) + np.where(whole, np.repeat(np.arange(len(shard)), sizes), n + rank[ahead])
-        order, rank = ranked(key)
-        if rank[order[-1]] == n - 1:
+        # a row's rank is the place where its interval begins; one whose end is in sight goes by string, and is in order
+        new |= left.take(rows) < seen
+        heads = np.flatnonzero(new)
+        many = np.diff(np.append(heads, rows.size))
+        rank[rows] = np.repeat(slots.take(heads).astype(rank.dtype), many)
+        open_ = np.repeat(many > 1, many)
+        slots, rows = slots.compress(open_), rows.compress(open_)
+        if not rows.size:
             break
-        size *= 2
-    before = text[order - 1]
-    string = np.repeat(np.arange(len(shard)), sizes)[order]
-    offset = order - (ends - sizes + 1)[string]
+        by, first, then = by_pairs(rank.take(rows), rank.take(rows + seen))
+        rows = rows.take(by)
+        order[slots] = rows
+        new = starts_of(first, then)
+        seen *= 2
+    before = text.take(order - 1, mode="wrap")
+    string = string.take(order)
+    offset = (sizes.take(string) - 1) - left.take(order)
     before[offset == 0] = 0
-    return before.astype(np.int16), string, offset
+    return before, string, offset
 
 
-def following(bwt: np.ndarray, strings: int) -> np.ndarray:
-    """For each row the row of the suffix that is one symbol shorter: what sorts the transform, stably. The end symbol follows itself."""
-    out = np.argsort(bwt, kind="stable")
-    out[:strings] = np.arange(strings)
+def preceding(bwt: np.ndarray) -> np.ndarray:
+    """For each row the row of the suffix that is one symbol longer, by counting symbols; of no meaning where a string begins."""
+    out = np.empty(bwt.size, np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(bwt.size)
     return out
 
 
-def merged_intervals(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interval, string and offset of every suffix of `depth` bytes or more, over the strings of all shards in order.
+def least_between(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest of values from first to before end (first < end), for many pairs of places."""
+    out = values[first]
+    far = np.flatnonzero(end - first > 1)
+    if far.size:
+        first, end = first[far], end[far]
+        level = (np.frexp(end - first)[1] - 1).astype(np.int64)
+        rows = np.empty((int(level.max()) + 1, values.size), values.dtype)
+        rows[0] = values
+        for i in range(1, len(rows)):
+            step = 1 << (i - 1)
+            np.minimum(rows[i - 1, :-step], rows[i - 1, step:], out=rows[i, :-step])
+            rows[i, -step:] = rows[i - 1, -step:]
+        out[far] = np.minimum(rows[level, first], rows[level, end - (1 << level)])
+    return out
+
 
-    Suffixes have one interval if and only if they begin with the same depth bytes.
-    The rows of each shard's transform are in order already, so a round only
-    interleaves them. It knows the intervals of a prefix of d symbols, and takes
-    each row to the row d symbols on, so the next round knows those of 2 d symbols.
+def merged(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of `depth` bytes or more over the strings of all shards, in the order of their first depth bytes: string and offset of each, and how many bytes (depth at most) it shares with the one before.
+
+    The rows of a shard come in the order of its transform, and the transform tells the row of each longer suffix. A round
+    knows the order by d symbols. Taken s symbols back, the rows are in order by symbols s to s + d; dealt out by the interval of
+    their own first d symbols, which keeps that order within an interval, they are in order by d + s. A suffix that has
+    fewer symbols is no row's way back, and drops out.
     """
-    symbols, on, owner, offset, base, strings = [], [], [], [], 0, 0
+    symbols, after, back, owner, offset, left, base, strings = [], [], [], [], [], [], 0, 0
     for shard in shards:
         bwt, string, at = transform(shard)
-        symbols.append(np.sort(bwt, kind="stable"))
-        on.append(following(bwt, len(shard)) + base)
+        sizes = np.fromiter(map(len, shard), np.int64, len(shard))
+        lf = preceding(bwt)
+        first = np.repeat(np.arange(257, dtype=np.uint16), np.bincount(bwt, minlength=257))
+        own = np.zeros(bwt.size, np.uint16)  # the symbol after each row's first one: the first one of the row that it is reached from
+        has = np.flatnonzero(at)
+        own[lf.take(has)] = first.take(has)
+        symbols.append(first)
+        after.append(own)
+        back.append(lf + base)
         owner.append(string + strings)
         offset.append(at)
+        left.append(sizes.take(string) - at)
         base, strings = base + bwt.size, strings + len(shard)
-    symbols, on, owner, offset = (np.concatenate(x) for x in (symbols, on, owner, offset))
-    steps = [on]  # by 1, 2, 4 ... symbols
+    symbols, after, back, owner, offset, left = (np.concatenate(x) if len(x) > 1 else x[0] for x in (symbols, after, back, owner, offset, left))
+    room = offset.astype(np.uint8 if depth < 256 else np.int64) if offset.max() < 256 else offset
+    steps = [back]  # by 1, 2, 4 ... symbols
 
-    def forward(n: int) -> np.ndarray:
-        out, i = None, 0
+    def backward(rows: np.ndarray, n: int) -> np.ndarray:
+        i = 0
         while n >> i:
             if len(steps) <= i:
-                steps.append(steps[-1][steps[-1]])
+                steps.append(steps[-1].take(steps[-1]))
             if n >> i & 1:
-                out = steps[i] if out is None else steps[i][out]
+                rows = steps[i].take(rows)
             i += 1
-        return out
-
-    seen = min(WORD, depth)
-    key = symbols.astype(np.int64)
-    for i in range(1, seen):
-        key = key << 9 | symbols[forward(i)]
-    _, interval = ranked(key, "stable")  # runs that are in order are merged, not sorted
-    while seen < depth:
+        return rows
+
+    seen, small = min(2, depth), np.uint8 if depth < 256 else np.int32
+    key = codes(symbols, after) if seen == 2 else symbols
+    rows = np.flatnonzero(left >= seen)
+    order = rows.take(np.argsort(key.take(rows), kind="stable"))
+    new = starts_of(key.take(order))
+    heads = order.compress(new)
+    shared = np.zeros(heads.size, small)
+    if seen == 2 and heads.size:
+        shared[1:] = symbols[heads[1:]] == symbols[heads[:-1]]
+    rank = np.empty(base, rank_type(base))
+    while True:
+        rank[order] = np.cumsum(new, dtype=rank.dtype) - rank.dtype.type(1)
+        if seen >= depth or not order.size:
+            break
         step = min(seen, depth - seen)
-        _, interval = ranked(interval * (base + 1) + interval[forward(step)], "stable")
+        ahead = order.compress(room.take(order) >= step)
+        rows = backward(ahead, step)
+        by, own, then = dealt(rank.take(rows), rank.take(ahead))
+        order = rows.take(by)
+        new = starts_of(own, then)
+        heads, was = np.flatnonzero(new), shared
+        a, b = own.take(heads).astype(np.int64), then.take(heads).astype(np.int64)
+        shared = np.zeros(heads.size, small)
+        if heads.size > 1:
+            alike = a[1:] == a[:-1]  # of one interval so far: apart by what comes then
+            pair = np.where(alike, b[:-1], a[:-1]), np.where(alike, b[1:], a[1:])
+            shared[1:] = least_between(was, pair[0] + 1, pair[1] + 1) + alike * small(step)
         seen += step
-    total = np.array([len(x) for shard in shards for x in shard])
-    whole = total[owner] - offset >= depth
-    return interval[whole], owner[whole], offset[whole]
-
-
-def promising(strings: list[bytes], group: np.ndarray, gram_at: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Strings (number, from, to) that may share a window with another of their anchor, cut to what others share on either side of the anchor."""
-    sides = []
-    for right in (True, False):
-        context = np.zeros((len(strings), -(-width // 8) * 8), np.uint16)
-        for i, (x, g) in enumerate(zip(strings, gram_at.tolist(), strict=True)):
-            part = np.frombuffer(x, np.uint8)[g:][:width] if right else np.frombuffer(x, np.uint8)[:g][::-1]
-            context[i, : part.size] = part.astype(np.uint16) + 1
-        sides.append(context)
-    right, left = (reach(c, group) for c in sides)
-    start, stop = gram_at - left, gram_at + right
-    keep = np.flatnonzero(left + right >= width)
-    return list(zip(keep.tolist(), start[keep].tolist(), stop[keep].tolist(), strict=True))
-
-
-def reach(context: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each row of context (symbols of 9 bits, 0 beyond its end) the longest prefix that it shares with another row of its group."""
-    n, width = context.shape
-    words = []
-    for at in range(0, width, WORD):
-        word = np.zeros(n, np.int64)
-        for i in range(at, min(at + WORD, width)):
-            word = word << 9 | context[:, i]
-        words.append(word)
-    order = np.lexsort((*words[::-1], group))
-    a, b = context[order[1:]], context[order[:-1]]
-    apart = (a != b) | (a == 0)
-    common = np.where(apart.any(1), apart.argmax(1), width)
-    common[group[order[1:]] != group[order[:-1]]] = 0
-    out = np.zeros(n, np.int64)
-    out[order[1:]] = common
-    out[order[:-1]] = np.maximum(out[order[:-1]], common)
-    return out
+    common = np.full(order.size, depth, np.int32)
+    common[new] = shared
+    return owner.take(order), offset.take(order), common
+
+
+def dealt(own: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that come in the order of `then`, dealt out by their own interval, and both ranks in that order. Counting keeps the order within an interval."""
+    by = np.argsort(own, kind="stable")
+    return by, own.take(by), then.take(by)
 
 
 def shards_of(strings: list[bytes]) -> list[list[bytes]]:
@@ -250,61 +301,60 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """The documents of a block, in order: by id (null last), equal ids by text."""
+    """The documents of a block, in order: by id (null last), equal ids by text, equal texts by a hash of the row's other columns."""
 
-    def __init__(self, ids: list, texts: list, width: int, gram: int):
+    def __init__(self, ids: list, texts: list, width: int, gram: int, more: list | None = None):
         coded = [(t or "").encode("utf-8") for t in texts]
         tie = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") >> 1 for c in coded]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, tie[i]))
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, tie[i], more[i] if more else 0))
         self.ids = [ids[i] for i in self.order]
         self.tie = [tie[i] for i in self.order]
         self.texts = [coded[i] for i in self.order]
         self.width = width
         runs = [anchors(np.frombuffer(t, np.uint8), width, gram) for t in self.texts]
         self.doc = np.repeat(np.arange(len(runs)), [r[0].size for r in runs])
-        self.hash, self.start, self.stop, self.place = (np.concatenate([r[i] for r in runs] or [np.empty(0, d)]) for i, d in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+        self.hash, self.start, self.stop = (np.concatenate([r[i] for r in runs] or [np.empty(0, d)]) for i, d in enumerate((np.uint64, np.int64, np.int64)))
 
     def pieces(self, repeated: np.ndarray, hot: np.ndarray) -> "Pieces":
         """What is sent of the block: runs whose anchor is repeated; those of a hot anchor window by window."""
         runs = np.flatnonzero(np.isin(self.hash, repeated))
-        doc, start, stop, key, place = (x[runs] for x in (self.doc, self.start, self.stop, self.hash, self.place))
+        doc, start, stop, key = (x[runs] for x in (self.doc, self.start, self.stop, self.hash))
         wide = np.isin(key, hot)
         if wide.any():
             many = np.where(wide, stop - start, 1)
             which = np.repeat(np.arange(runs.size), many)
             step = np.arange(which.size) - np.repeat(np.cumsum(many) - many, many)
             wide = wide[which]
-            doc, start, key, place = doc[which], start[which] + step, key[which], place[which]
+            doc, start, key = doc[which], start[which] + step, key[which]
             stop = np.where(wide, start + 1, stop[which])
-            place = np.where(wide, start, place)
-        return Pieces(self, doc, start, stop, key, place, wide)
+        return Pieces(self, doc, start, stop, key, wide)
 
 
 class Pieces:
     """Runs, or single windows, of a block, and the distinct strings among them, each with the piece where it comes first.
 
     A string of a run goes to the bucket of its anchor. Where an anchor is hot, strings that hold it may
-    all be different, so each window goes to the bucket of its own hash.
+    all be different, so each window goes its own way, by its digest.
     """
 
-    def __init__(self, block: Block, doc, start, stop, key, place, wide):
-        self.doc, self.start, self.stop, self.place = doc, start, stop, place
+    def __init__(self, block: Block, doc, start, stop, key, wide):
+        self.block, self.doc, self.start, self.stop = block, doc, start, stop
         number: dict[bytes, int] = {}
         self.of = np.empty(doc.size, np.int64)
-        for i, (d, a, b) in enumerate(zip(doc.tolist(), start.tolist(), stop.tolist(), strict=True)):
-            self.of[i] = number.setdefault(block.texts[d][a : b + block.width - 1], len(number))
-        self.strings = list(number)
+        for i, (d, a, b, w) in enumerate(zip(doc.tolist(), start.tolist(), stop.tolist(), wide.tolist(), strict=True)):
+            text = block.texts[d][a : b + block.width - 1]
+            self.of[i] = number.setdefault((text, w), len(number))
+        self.strings = [x for x, _ in number]
         self.lead = np.full(len(self.strings), -1)
         self.lead[self.of[::-1]] = np.arange(doc.size)[::-1]
-        self.key = key[self.lead]
-        for i in np.flatnonzero(wide[self.lead]).tolist():
-            self.key[i] = int.from_bytes(hashlib.blake2b(self.strings[i], digest_size=8).digest(), "little")
+        self.key, self.wide = key[self.lead], wide[self.lead]
 
     def routed(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The strings in the order in which they are sent, and their buckets."""
-        to = (self.key % np.uint64(buckets)).astype(np.int64)
+        """The strings in the order in which they are sent to buckets, and these; windows of hot anchors are not among them."""
+        narrow = np.flatnonzero(~self.wide)
+        to = (self.key[narrow] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        return order, to[order]
+        return narrow[order], to[order]
 
 
 def spans(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,52 +362,56 @@ def spans(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def merges(sizes: np.ndarray, anchor: np.ndarray) -> Iterator[np.ndarray]:
+    """Strings in jobs: those of one anchor together, some anchors to a job; an anchor with one string has no window twice, and is in none."""
+    by = np.argsort(anchor, kind="stable")
+    starts = np.flatnonzero(starts_of(anchor[by]))
+    many = np.diff(np.append(starts, by.size))
+    rows = np.add.reduceat(sizes[by] + 1, starts) if by.size else starts
+    held, total = [], 0
+    for a, n, r in zip(starts.tolist(), many.tolist(), rows.tolist(), strict=True):
+        if n > 1:
+            if held and total + r > MERGE_ROWS:
+                yield np.sort(np.concatenate(held))
+                held, total = [], 0
+            held.append(by[a : a + n])
+            total += r
+    if held:
+        yield np.sort(np.concatenate(held))
+
+
 def resolve(group: pa.Table, width: int) -> pa.Table:
     """A bucket's strings: for each block's request, which windows of each string occur earlier."""
-    requests = [(b.as_py(), unpack(x.as_py())) for b, x in zip(group["block"], group["data"], strict=True)]
+    requests = sorted(((b.as_py(), unpack(x.as_py())) for b, x in zip(group["block"], group["data"], strict=True)), key=lambda r: r[0])
     sizes = np.concatenate([r[1][0] for r in requests]).astype(np.int64)
     ids, tie, start, run = (np.concatenate([r[1][i] for r in requests]).astype(np.int64) for i in (1, 2, 3, 4))
-    hashes = np.concatenate([r[1][5] for r in requests])
+    anchor = np.concatenate([r[1][5] for r in requests])
     raw = np.concatenate([r[1][6] for r in requests]).tobytes()
-    gram_at = np.concatenate([r[1][7] for r in requests]).astype(np.int64)
     ends = np.cumsum(sizes)
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(raw[e - s : e], len(number)) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64)
+    strings = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
     order = np.lexsort((start, run, tie, ids))
     turn = np.empty(order.size, np.int64)  # places in order: of one document, by start
     turn[order] = np.arange(order.size)
-    best = np.full(len(number), -1)
-    for i in order[::-1].tolist():
-        best[which[i]] = i
-    strings = list(number)
-    of = hashes[best]
-    _, back, many = np.unique(of, return_inverse=True, return_counts=True)
-    open_ = np.flatnonzero(many[back] > 1)  # several strings of one anchor; one alone never has a window twice
-    repeated = [np.zeros(0, bool)] * len(strings)
-    kinds = np.zeros(len(strings), np.uint8)
-    for i in open_.tolist():
-        repeated[i] = np.zeros(len(strings[i]) - width + 1, bool)
-    shared = promising([strings[i] for i in open_], of[open_], gram_at[best[open_]], width) if open_.size else []
-    if shared:
-        numbers, starts, _ = (np.array(x) for x in zip(*shared, strict=True))
-        interval, owner, offset = merged_intervals(shards_of([strings[open_[i]][a:b] for i, a, b in shared]), width)
-        offset, owner = offset + starts[owner], open_[numbers[owner]]
-        entry = best[owner]
-        by = np.lexsort((start[entry] + offset, run[entry], tie[entry], ids[entry], interval))
-        later = np.concatenate(([False], interval[by][1:] == interval[by][:-1]))
-        for i, o in zip(owner[by][later].tolist(), offset[by][later].tolist(), strict=True):
-            repeated[i][o] = True
-        for i in open_.tolist():
-            kinds[i] = 1 if repeated[i].all() else 2 if repeated[i].any() else 0
+    windows = sizes - width + 1
+    base = np.cumsum(windows) - windows
+    again = np.zeros(int(windows.sum()), bool)
+    for job in merges(sizes, anchor):
+        owner, offset, common = merged(shards_of([strings[i] for i in job.tolist()]), width)
+        entry = job[owner]
+        interval = np.cumsum(common < width)
+        by = np.lexsort((turn[entry], interval))
+        later = by[1:][interval[by[1:]] == interval[by[:-1]]]
+        again[base[entry[later]] + offset[later]] = True
+    seen = np.add.reduceat(again, base) if base.size else base
+    kinds = np.where(seen == windows, 1, np.where(seen > 0, 2, 0)).astype(np.uint8)
     rows, at = [], 0
     for block, r in requests:
         n = r[0].size
-        here = which[at : at + n]
-        kind = np.where(best[here] == np.arange(at, at + n), kinds[here], 1).astype(np.uint8)
-        bits = [repeated[i] for i in here[kind == 2].tolist()]
+        kind = kinds[at : at + n]
+        bits = [again[base[i] : base[i] + windows[i]] for i in (at + np.flatnonzero(kind == 2)).tolist()]
         rows.append((block, pack(kind, np.packbits(np.concatenate(bits)) if bits else np.empty(0, np.uint8))))
         at += n
-    del raw, strings, number, requests
+    del raw, strings, requests
     give_back()
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -367,54 +421,88 @@ def placed(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)))
 
 
-def repeated_hashes(texts: DataFrame, buckets: int, width: int, gram: int, hot_uses: int) -> DataFrame:
-    """block, data: for each block the hashes of its anchors that occur twice or more anywhere, and those of them that occur more than hot_uses times."""
+def repeated_hashes(texts: DataFrame, total: int, buckets: int, width: int, gram: int, hot_uses: int) -> DataFrame:
+    """block, n_hot, data: for each block the hashes of its anchors that occur twice or more anywhere, and those of them that occur more than hot_uses times.
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    A task sends its anchors in parts: for each bucket sums by hash, and which blocks use each. Buckets see
+    sums alone, so a hash costs as much as it has senders; their answers go to the senders' parts, some
+    at a time, which know the blocks. So nothing holds all blocks that share an anchor.
+    """
+    salts = max(1, total // (FLUSH * FLUSHES * 32))
+
+    def flush(held: list[np.ndarray], turn: int) -> pa.RecordBatch:
         h, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        order = np.lexsort((b, h, h % np.uint64(buckets)))
-        h, b = h[order], b[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))
-        starts = np.flatnonzero(new)
-        many = np.diff(np.append(starts, h.size)).astype(np.uint32)
-        h, b = h[starts], b[starts]
         to = h % np.uint64(buckets)
-        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-        data = [pack(np.diff(h[i:j], prepend=np.uint64(0)), b[i:j].astype(np.uint32), many[i:j]) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "data"])
+        order = np.lexsort((b, h, to))
+        h, b, to = h[order], b[order], to[order]
+        pairs = np.flatnonzero(starts_of(h, b))
+        uses = np.diff(np.append(pairs, h.size)).astype(np.uint32)
+        h, b, to = h[pairs], b[pairs].astype(np.uint32), to[pairs]
+        cuts = np.flatnonzero(starts_of(to))
+        sums, blocks = [], []
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), h.size], strict=True):
+            heads = np.flatnonzero(starts_of(h[i:j]))
+            sums.append(pack(np.diff(h[i:j][heads], prepend=np.uint64(0)), np.add.reduceat(uses[i:j], heads)))
+            blocks.append(pack(np.diff(np.append(heads, j - i)).astype(np.uint32), b[i:j]))
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64)), pa.array(np.full(cuts.size, turn % salts), pa.int64()), pa.array(sums, pa.binary()), pa.array(blocks, pa.binary())], names=["bucket", "salt", "sums", "blocks"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        from pyspark import TaskContext
+
+        held, size, turn = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             for block, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = anchors(np.frombuffer((cell.as_py() or "").encode("utf-8"), np.uint8), width, gram)[0]
                 held.append((h, np.full(h.size, block, np.int64)))
                 size += h.size
-                if size > 1_000_000:
-                    yield from flush(held)
-                    held, size = [], 0
+                if size > FLUSH:
+                    yield flush(held, turn)
+                    held, size, turn = [], 0, turn + 1
         if size:
-            yield from flush(held)
+            yield flush(held, turn)
         del held
         give_back()
 
-    def meet(group: pa.Table) -> pa.Table:
-        got = [unpack(x.as_py()) for x in group["data"]]
+    def count(group: pa.Table) -> pa.Table:
+        got = [unpack(x.as_py()) for x in group["sums"]]
         h = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
-        b, uses = (np.concatenate([x[i] for x in got]) for i in (1, 2))
-        order = np.argsort(h, kind="stable")
-        h, b, uses = h[order], b[order], uses[order].astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        uses = np.repeat(np.add.reduceat(uses, new), np.diff(np.append(new, h.size)))
-        h, b, uses = h[uses > 1], b[uses > 1], uses[uses > 1]
-        order = np.lexsort((h, b))
-        h, b, hot = h[order], b[order], uses[order] > hot_uses
-        cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if h.size else np.empty(0, np.int64)
-        data = [pack(np.diff(np.unique(h[i:j]), prepend=np.uint64(0)), np.diff(np.unique(h[i:j][hot[i:j]]), prepend=np.uint64(0))) for i, j in zip(cuts, np.append(cuts[1:], h.size), strict=True)] if h.size else []
-        return pa.table({"block": pa.array(b[cuts].astype(np.int64)), "data": pa.array(data, pa.binary())})
-
-    sent = texts.select("block", "text").mapInArrow(send, "bucket bigint, data binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "block bigint, data binary")
+        uses = np.concatenate([x[1] for x in got]).astype(np.int64)
+        order = np.argsort(h)
+        h, uses = h[order], uses[order]
+        heads = np.flatnonzero(starts_of(h))
+        uses, h = np.add.reduceat(uses, heads), h[heads]
+        known = h[uses > 1]
+        return pa.table({"bucket": pa.array([group["bucket"][0].as_py()], pa.int64()), "known": pa.array([pack(np.diff(known, prepend=np.uint64(0)), uses[uses > 1] > hot_uses)], pa.binary())})
+
+    def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            known, hot = unpack(right["known"][0].as_py())
+            known = np.cumsum(known, dtype=np.uint64)
+            found = []
+            for sums, blocks in zip(left["sums"].to_pylist(), left["blocks"].to_pylist(), strict=True):
+                h = np.cumsum(unpack(sums)[0], dtype=np.uint64)
+                many, b = unpack(blocks)
+                at = np.searchsorted(known, h)
+                here = np.repeat((at < known.size) & (known[np.minimum(at, max(0, known.size - 1))] == h) if known.size else np.zeros(h.size, bool), many)
+                found.append((np.repeat(at, many)[here], b[here]))
+            at, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+            order = np.lexsort((at, b))
+            at, b = at[order], b[order]
+            heads = np.flatnonzero(starts_of(at, b)) if at.size else at
+            at, b = at[heads], b[heads]
+            cuts = np.flatnonzero(starts_of(b)).tolist() if b.size else []
+            for i, j in zip(cuts, [*cuts[1:], b.size], strict=False):
+                mine = at[i:j]
+                warm = known[mine][hot[mine]]
+                rows.append((int(b[i]), int(warm.size), pack(np.diff(known[mine], prepend=np.uint64(0)), np.diff(warm, prepend=np.uint64(0)))))
+        kinds = (("block", pa.int64()), ("n_hot", pa.int64()), ("data", pa.binary()))
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
+
+    sent = durable(texts.select("block", "text").mapInArrow(send, "bucket bigint, salt bigint, sums binary, blocks binary"))
+    known = sent.select("bucket", "sums").groupBy("bucket").applyInArrow(count, "bucket bigint, known binary")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return sent.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(answer, "block bigint, n_hot bigint, data binary")
 
 
 def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bool = False, hot_uses: int = HOT_USES) -> DataFrame:
@@ -422,61 +510,83 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
 
     Every byte is removed that a string of `width` bytes covers which also starts
     earlier: in a document with a smaller id, or in the same one. Strings are
-    bytes of whole UTF-8 texts, and never cross documents. Null text counts as empty. Null ids come
-    after all others. Rows with one id come in the order of a hash of their texts; of equal rows all but one are copies. Other
-    columns are not read; an empty table gives an empty one.
+    bytes of whole UTF-8 texts, and never cross documents; a very long text is a block of its own size, anchored by parts. Null text counts
+    as empty. Null ids come after all others. Rows with one id come in the order of a hash of their texts, rows with one text too in
+    that of a hash of their other columns; of equal rows all but one are copies. Other
+    columns are not read (but with whole_rows); an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     others = [c for c in docs.columns if c != "text"]
-    full = docs.select("doc_id", text, F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-    texts = full.select("doc_id", "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    texts = docs.select("doc_id", text)
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    full = docs.select("doc_id", text, row.alias("row"), F.xxhash64(row.cast("string")).alias("more"))
     texts, full = placed(texts, blocks), placed(full, blocks)
-    known = durable(repeated_hashes(texts, buckets, width, gram, hot_uses))
+    known = durable(repeated_hashes(texts, total, buckets, width, gram, hot_uses))
 
-    def hashes(side: pa.Table) -> list[np.ndarray]:
-        got = [unpack(x.as_py()) for x, b in zip(side["data"], side["bucket"], strict=True) if b.as_py() is None]
+    def hashes(data: list) -> list[np.ndarray]:
+        got = [unpack(x) for x in data]
         return [np.concatenate([*(np.cumsum(x[i], dtype=np.uint64) for x in got), np.empty(0, np.uint64)]) for i in (0, 1)]
 
+    def pieces(left: pa.Table, data: list) -> Pieces:
+        more = left["more"].to_pylist() if "more" in left.column_names else None
+        return Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram, more).pieces(*hashes(data))
+
+    def place(block: Block, p: Pieces, these: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where strings come first in the block, as numbers in the order of all places: id, tie, start, document in the block."""
+        ids = np.array([LAST if i is None else int(i) for i in block.ids], np.int64)
+        at = p.lead[these]
+        d = p.doc[at]
+        return ids[d], np.array(block.tie, np.int64)[d], p.start[at], d.astype(np.uint32)
+
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
-            p = block.pieces(*hashes(right))
+            p = pieces(left, right["data"].to_pylist())
             order, to = p.routed(buckets)
-            ids = np.array([LAST if i is None else int(i) for i in block.ids], np.int64)
-            tie = np.array(block.tie, np.int64)
             short = np.uint16 if width < 20_000 else np.uint32
-            cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if to.size else []
-            for i, j in zip(cuts, [*cuts[1:], to.size], strict=True):
+            cuts = np.flatnonzero(starts_of(to)) if to.size else []
+            for i, j in zip(cuts, [*cuts[1:], to.size], strict=False):
                 these = order[i:j]
-                at = p.lead[these]
-                d = p.doc[at]
                 strings = [p.strings[s] for s in these.tolist()]
                 sizes = np.array([len(x) for x in strings], short)
-                raw = np.frombuffer(b"".join(strings), np.uint8)
-                out.append((int(to[i]), key[0].as_py(), pack(sizes, ids[d], tie[d], p.start[at], d.astype(np.uint32), p.key[these], raw, (p.place - p.start)[at].astype(short))))
+                out.append((int(to[i]), key[0].as_py(), pack(sizes, *place(p.block, p, these), p.key[these], np.frombuffer(b"".join(strings), np.uint8))))
         kinds = (("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary()))
         return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(kinds)})
 
+    def ask_windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """The windows of hot anchors: their digests, places, and numbers among the block's strings."""
+        wide, place_, digests = np.empty(0, np.int64), [np.empty(0, np.int64)] * 4, []
+        if left.num_rows and right.num_rows:
+            p = pieces(left, right["data"].to_pylist())
+            wide = np.flatnonzero(p.wide)
+            place_ = place(p.block, p, wide)
+            digests = [hashlib.blake2b(p.strings[i], digest_size=16).digest() for i in wide.tolist()]
+        half = [pa.array([int.from_bytes(d[at : at + 8], "little", signed=True) for d in digests], pa.int64()) for at in (0, 8)]
+        return pa.table([*half, *(pa.array(x.astype(np.int64)) for x in place_), pa.array(np.full(wide.size, key[0].as_py()), pa.int64()), pa.array(wide)], names=["w1", "w2", "id", "tie", "start", "doc", "block", "string"])
+
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             none = pa.table({n: pa.array([], t) for n, t in fields})
             return none.append_column("rest", pa.array([], pa.string())).append_column("row", left["row"]) if whole_rows else none
-        block = Block(left["doc_id"].to_pylist(), left["text"].to_pylist(), width, gram)
-        p = block.pieces(*hashes(right))
-        kind, bits = np.ones(len(p.strings), np.uint8), {}
-        if p.strings:
-            order, to = p.routed(buckets)
-            answers = {b.as_py(): unpack(x.as_py()) for b, x in zip(right["bucket"], right["data"], strict=True) if b.as_py() is not None}
-            for b in np.unique(to).tolist():
-                these = order[to == b]
-                kind[these], at = answers[b][0], 0
-                plain = np.unpackbits(answers[b][1])
-                for s in these[kind[these] == 2].tolist():
+        from_, data = right["bucket"].to_pylist(), right["data"].to_pylist()
+        p = pieces(left, [x for x, b, s in zip(data, from_, right["string"].to_pylist(), strict=True) if b is None and s is None])
+        block = p.block
+        kind, bits = np.ones(len(p.strings), np.uint8), {}  # windows of hot anchors that have no answer are met earlier
+        kind[[s for s in right["string"].to_pylist() if s is not None]] = 0
+        order, to = p.routed(buckets)
+        if order.size:
+            answers = {b: unpack(x) for b, x in zip(from_, data, strict=True) if b is not None}
+            cuts = np.flatnonzero(starts_of(to))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), to.size], strict=True):
+                these = order[i:j]
+                told, packed = answers[int(to[i])]
+                kind[these], at = told, 0
+                plain = np.unpackbits(packed)
+                for s in these[told == 2].tolist():
                     n = len(p.strings[s]) - width + 1
                     bits[s] = plain[at : at + n]
                     at += n
@@ -514,12 +624,16 @@ def removals(docs: DataFrame, width: int = 100, gram: int = GRAM, whole_rows: bo
     out = StructType.fromDDL(schema)
     if whole_rows:
         out = out.add("rest", "string").add("row", full.schema["row"].dataType)
-    grouped = texts.groupBy("block")
-    replies = known.select("block", F.lit(None).cast("bigint").alias("bucket"), "data")
-    asked = grouped.cogroup(replies.groupBy("block")).applyInArrow(ask, "bucket bigint, block bigint, data binary")
+    asked = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask, "bucket bigint, block bigint, data binary")
     answers = durable(asked.groupBy("bucket").applyInArrow(lambda group: resolve(group, width), "block bigint, bucket bigint, data binary"))
+    replies = known.select("block", "data").unionByName(answers, allowMissingColumns=True).withColumn("string", F.lit(None).cast("bigint"))
+    hot = known.select("block", "data", "n_hot")
+    if not hot.filter("n_hot > 0").isEmpty():
+        windows = texts.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(ask_windows, "w1 bigint, w2 bigint, id bigint, tie bigint, start bigint, doc bigint, block bigint, string bigint")
+        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "tie", "doc", "start", "block", "string")).alias("f"))
+        replies = replies.unionByName(first.select("f.block", "f.string"), allowMissingColumns=True)
     kept = full if whole_rows else texts
-    return kept.groupBy("block").cogroup(replies.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
+    return kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, out)
 
 
 def cut_out(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataFrame:

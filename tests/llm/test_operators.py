@@ -313,19 +313,27 @@ def test_repeats_of_few_symbols(spark, texts, shape):
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == brute_removals(list(enumerate(texts)), width)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.binary(min_size=1, max_size=12).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=4), min_size=1, max_size=4), st.integers(1, 12))
-def test_intervals_are_common_prefixes(shards, depth):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=14).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=5), min_size=1, max_size=4), st.integers(1, 14))
+def test_merge_gives_order_common_prefixes_and_intervals(shards, depth):
     strings = [x for s in shards for x in s]
-    interval, owner, offset = suffix.merged_intervals(shards, depth)
-    got = collections.defaultdict(set)
-    for i, o, f in zip(interval.tolist(), owner.tolist(), offset.tolist(), strict=True):
-        got[i].add((o, f))
-    expected = collections.defaultdict(set)
-    for o, x in enumerate(strings):
-        for f in range(len(x) - depth + 1):
-            expected[x[f : f + depth]].add((o, f))
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    owner, offset, common = suffix.merged(shards, depth)
+    rows = [strings[o][f:] for o, f in zip(owner.tolist(), offset.tolist(), strict=True)]
+    assert sorted(zip(owner.tolist(), offset.tolist(), strict=True)) == [(o, f) for o, x in enumerate(strings) for f in range(len(x) - depth + 1)]
+    assert [r[:depth] for r in rows] == sorted(r[:depth] for r in rows)
+    assert common.tolist() == [len(os.path.commonprefix([a[:depth], b[:depth]])) if i else 0 for i, (a, b) in enumerate(zip([b"", *rows], rows, strict=False))][: len(rows)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=20).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=6))
+def test_transform_of_a_shard(strings):
+    bwt, string, offset = suffix.transform(strings)
+    rows = sorted(([b + 1 for b in strings[s][o:]] + [0, s], s, o) for s in range(len(strings)) for o in range(len(strings[s]) + 1))
+    assert [(s, o) for _, s, o in rows] == list(zip(string.tolist(), offset.tolist(), strict=True))
+    assert bwt.tolist() == [strings[s][o - 1] + 1 if o else 0 for _, s, o in rows]
+    back = suffix.preceding(bwt)
+    place = {(s, o): i for i, (_, s, o) in enumerate(rows)}
+    assert all(back[i] == place[s, o - 1] for i, (_, s, o) in enumerate(rows) if o)
 
 
 def test_cut_texts_and_columns(spark):
