@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, fresh
+from cairn.llm.common import durable, fresh, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
@@ -25,27 +25,35 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def numbered(by: DataFrame) -> DataFrame:
+    """by with turn: the place of each source by code point, null last, from 0. Ranges of sources are numbered apart, and placed by their counts."""
+    ranged = durable(by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    ranged = ranged.withColumn("within", within).join(F.broadcast(counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))), "part")
+    return ranged.withColumn("turn", F.col("within") + F.col("before")).drop("part", "within", "before")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """One row for each source: source, source_size, target.
 
-    The level is the one at which weight times level, stopped at most times the
-    size, sums to share times all sizes; found from running sums over the sources
-    in the order in which they reach their stop.
+    What all share is dealt out by weight; a source that gets more than most times its size stops there, and the
+    rest is shared anew among the others, until none is above. Each round is one aggregate over the sources, so their number is not bounded.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    ordered = every.orderBy(F.col("source").asc_nulls_last())
+    by = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by = by.withColumn("w", F.element_at(cycle, (((F.row_number().over(ordered) - 1) % len(weights)) + 1).cast("int")))
-    by = by.withColumn("stop", F.col("source_size") * F.lit(float(most))).withColumn("goal", F.sum("source_size").over(every) * F.lit(float(share)))
-    filling = every.orderBy(F.col("stop") / F.col("w"), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    rest = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    by = by.withColumn("at", (F.col("goal") - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    by = by.withColumn("turn", F.row_number().over(filling))
-    reached = F.when(F.col("at") * F.col("w") <= F.col("stop"), F.struct("turn", "at"))
-    by = by.withColumn("level", F.min(reached).over(every)["at"])
-    return by.select("source", "source_size", F.least(F.col("stop"), F.coalesce(F.col("level") * F.col("w"), F.col("stop"))).alias("target"))
+    by = by.withColumn("w", F.element_at(cycle, (F.col("turn") % len(weights) + 1).cast("int"))).withColumn("stop", F.col("source_size") * F.lit(float(most)))
+    by = durable(by.select("source", "source_size", "w", "stop"))
+    goal = (by.agg(F.sum("source_size")).head()[0] or 0) * float(share)
+    level, stopped = 0.0, -1
+    while True:
+        over = F.col("w") * F.lit(level) > F.col("stop")
+        now = by.agg(F.count(F.when(over, True)).alias("n"), F.coalesce(F.sum(F.when(over, F.col("stop"))), F.lit(0.0)).alias("taken"), F.sum(F.when(~over, F.col("w"))).alias("open")).head()
+        if now["n"] == stopped or not now["open"]:
+            break
+        level, stopped = (goal - now["taken"]) / now["open"], now["n"]
+    return by.select("source", "source_size", F.least(F.col("stop"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def chance(*of: Column) -> Column:
@@ -128,8 +136,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of docs (doc_id, source, text).
 
-    Nulls in any column are values of their own; repeated rows are documents of
-    their own; other columns are not read; an empty table gives an empty one.
+    Nulls in any column are values of their own; a null or empty text has size 0 and takes no words; very long texts count whole; repeated rows are
+    documents of their own; other columns are not read; an empty table gives an empty one.
     Reruns agree, as every draw is a hash.
     """
     each = copies(docs, **how).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
@@ -138,16 +146,19 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with all its columns."""
+    """The mix itself: each row of docs as often as it is taken, with all its columns.
+
+    Rows of one doc_id, source and size share the copies that fall to them; the first by a hash of all columns get one more, so reruns agree. Nulls,
+    empty texts (never taken more often than their copies are drawn, and of no size), very long texts (one size like any other), repeated rows
+    and empty tables are as in mix(). Other columns may have any names.
+    """
     kinds = copies(docs, **how)
-    size, j, n, d, s, z = fresh(docs, "mix_size", "mix_j", "mix_copies", "mix_doc", "mix_source", "mix_of")
-    kinds = kinds.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("base").alias("mix_base"), F.col("more").alias("mix_more"), F.col("base").alias(n))
-    kinds = kinds.toDF(d, s, z, "mix:base", "mix:more", n)
-    sized = docs.withColumn(size, n_words(F.col("text").cast("string")))
+    size, j, n, d, s, z, base, more, h = fresh(docs, "mix_size", "mix_j", "mix_copies", "mix_doc", "mix_source", "mix_of", "mix_base", "mix_more", "mix_row")
+    kinds = kinds.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("base").alias(base), F.col("more").alias(more))
+    sized = docs.withColumn(h, row_hash(docs)).withColumn(size, n_words(F.col("text").cast("string")))
     on = sized["doc_id"].eqNullSafe(kinds[d]) & sized["source"].cast("string").eqNullSafe(kinds[s]) & (sized[size] == kinds[z])
     both = sized.join(kinds, on)
-    # equal rows are told apart by their place; a single one is the first
-    both = both.withColumn(j, F.row_number().over(Window.partitionBy(d, s, z).orderBy(F.lit(0))) - 1)
-    both = both.withColumn(n, F.col("`mix:base`") + (F.col(j) < F.col("`mix:more`")).cast("bigint"))
+    both = both.withColumn(j, F.row_number().over(Window.partitionBy(d, s, z).orderBy(h)) - 1)
+    both = both.withColumn(n, F.col(base) + (F.col(j) < F.col(more)).cast("bigint"))
     both = both.filter(F.col(n) > 0).withColumn(j, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns])
