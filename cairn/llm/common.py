@@ -5,11 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.session import shared_folder
 
 _made: list[str] = []
 
@@ -19,12 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
+    path = shared_folder(spark, "cairn")
     _made.append(path)
     return path
 
@@ -57,6 +54,17 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def identity(*of: Column | str) -> Column:
+    """128 bits that tell values apart: two 64-bit hashes of different seeds, as bytes."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *of)), 16, "0") for seed in ("left", "right")]
+    return F.unhex(F.concat(*halves))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, of any types; what settles the order of rows that are alike in what an operator looks at."""
+    return F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+
+
 def give_back() -> None:
     """Returns memory that this worker no longer uses to the system: workers live on after a task, several to an executor."""
     gc.collect()

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import durable, fresh, give_back, small_batches
+from cairn.llm.common import durable, fresh, give_back, identity, row_hash, small_batches
 from cairn.llm.features import grams, mixed, word_hashes, words_of
-from cairn.llm.graph import components
+from cairn.llm.graph import attach, components
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -37,6 +37,11 @@ BLOCK, LEADERS = 1024, 512
 DF_BITS, DF_PARTS = 22, 64
 RARE = 1000.0
 STRIP = 256
+#: Rows of buckets that are looked through together.
+SHARE = 200_000
+LINKS = "a binary, b binary"
+#: Groups that leaders leave open have more rows than a task should get.
+HOT_GROUP = 1 << 62
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +60,12 @@ def log_weights(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.nda
 
 
 class Sampler:
-    """Consistent weighted samples. A shingle takes its random numbers from a pool, by its hash."""
+    """Consistent weighted samples. A shingle takes its random numbers r, c and beta from pools, each by bits of its hash of their own.
+
+    Shingles that share one of the three still differ in another: where r and beta are a shingle's own, it
+    wins among those of one c in proportion to its weight (r times a uniform number is exponential, so its tail
+    beyond T is weight over T), as it does among all.
+    """
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -72,10 +82,11 @@ class Sampler:
         columns = np.arange(SAMPLES)
         for at in range(0, found.size, 2048):
             part = found[at : at + 2048]
-            row = (mixed(part) & np.uint64(POOL - 1)).astype(np.int64)
-            beta = self.beta[row]
-            step = np.floor(logs[at : at + 2048, None].astype(np.float32) * self.inverse[row] + beta)
-            value = self.log_c[row] - self.r[row] * (step - beta + 1)
+            bits = mixed(part)
+            of_r, of_c, of_beta = (((bits >> np.uint64(shift)) & np.uint64(POOL - 1)).astype(np.int64) for shift in (0, 20, 40))
+            beta = self.beta[of_beta]
+            step = np.floor(logs[at : at + 2048, None].astype(np.float32) * self.inverse[of_r] + beta)
+            value = self.log_c[of_c] - self.r[of_r] * (step - beta + 1)
             low = value.argmin(0)
             lowest = value[low, columns]
             better = lowest < best
@@ -173,13 +184,13 @@ class Ties:
         return a != b
 
 
-def tied_rows(tied: np.ndarray) -> Ties:
+def tied_rows(tied: list) -> Ties:
     """Rows with one value are tied."""
-    _, first, which = np.unique(tied, return_index=True, return_inverse=True)
-    return Ties(first[which].tolist())
+    first: dict = {}
+    return Ties([first.setdefault(x, i) for i, x in enumerate(tied)])
 
 
-def forest(samples: np.ndarray, tied: np.ndarray) -> list[tuple[int, int]]:
+def forest(samples: np.ndarray, tied: list) -> list[tuple[int, int]]:
     """Links between rows that tie what their likely pairs tie, and is not tied yet."""
     ties, out = tied_rows(tied), []
     for i, j, _ in agreeing(samples, samples):
@@ -227,57 +238,46 @@ def candidates(signed: DataFrame) -> DataFrame:
                 key = (own & ~np.int64(15)) | band
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(key)], names=["id", "samples", "bucket"])
 
-    dealt = signed.select("id", "samples", "bands").mapInArrow(deal, "id bigint, samples binary, bucket bigint")
+    dealt = signed.select("id", "samples", "bands").mapInArrow(deal, "id binary, samples binary, bucket bigint")
     keys = signed.select("bands").mapInArrow(keys_only, "bucket bigint").groupBy("bucket").agg(F.count("*").alias("members"))
     large = durable(keys.filter(F.col("members") > BLOCK))
-    several = not large.isEmpty()
-    small = dealt.join(large, "bucket", "left_anti") if several else dealt
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets come one after the other; one that a batch may cut is kept for the next."""
-        held: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            bucket = held["bucket"].to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut:
-                yield from links(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from links(held)
-
-    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket = rows["bucket"].to_numpy()
+    wide_ones = not large.isEmpty()
+    small = dealt.join(large, "bucket", "left_anti") if wide_ones else dealt
+    shares = max(1, -(-signed.count() * BANDS // SHARE))
+
+    def within(group: pa.Table) -> pa.Table:
+        """Some whole buckets."""
+        bucket = group["bucket"].to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         sizes = np.diff(np.append(starts, bucket.size))
-        out = []
-        several = sizes > 1
-        if several.any():
-            ids = rows["id"].to_numpy()
-            used = np.flatnonzero(np.repeat(several, sizes))
-            samples = np.frombuffer(b"".join(rows["samples"].take(pa.array(used)).to_pylist()), np.uint8).reshape(-1, SAMPLES)
-            ids, at = ids[used], 0
-            for n in sizes[several].tolist():
-                out += [(ids[at + x], ids[at + y]) for x, y in forest(samples[at : at + n], np.arange(n))]
-                at += n
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        used = order[np.repeat(sizes > 1, sizes)]
+        ids = group["id"].take(pa.array(used)).to_pylist()
+        samples = np.frombuffer(b"".join(group["samples"].take(pa.array(used)).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        out, at = [], 0
+        for n in sizes[sizes > 1].tolist():
+            out += [(ids[at + x], ids[at + y]) for x, y in forest(samples[at : at + n], range(n))]
+            at += n
+        return pairs_of(out)
 
     def across(group: pa.Table) -> pa.Table:
-        samples, ids = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES), group["id"].to_numpy()
-        pairs = forest(samples, group["part"].to_numpy())
-        return pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int64()), "b": pa.array([ids[y] for _, y in pairs], pa.int64())})
+        samples, ids = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES), group["id"].to_pylist()
+        return pairs_of([(ids[x], ids[y]) for x, y in forest(samples, group["part"].to_pylist())])
 
-    out = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(within, "a bigint, b bigint")
-    if not several:
+    out = small.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(shares)).alias("share")).applyInArrow(within, LINKS)
+    if not wide_ones:
         return out
     wide = durable(dealt.join(large, "bucket"))
-    out = durable(out.unionAll(led(wide.withColumn("part", F.col("id"))).groupBy("bucket", "job").applyInArrow(across, "a bigint, b bigint")))
+    out = durable(out.unionAll(led(wide.withColumn("part", F.col("id"))).groupBy("bucket", "job").applyInArrow(across, LINKS)))
     parts = components(out).withColumnRenamed("component", "part")
     wide = durable(wide.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
     rest = leftover_jobs(wide.join(open_groups(wide, "bucket"), "bucket"))
-    return out.unionAll(rest.groupBy("bucket", "job").applyInArrow(across, "a bigint, b bigint"))
+    return out.unionAll(rest.groupBy("bucket", "job").applyInArrow(across, LINKS))
+
+
+def pairs_of(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
 
 def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +292,9 @@ def verifier(shipped, threshold: float):
 
     def verify(group: pa.Table) -> pa.Table:
         idf = np.frombuffer(shipped.value, np.uint8)
-        ids = group["id"].to_numpy()
+        ids = group["id"].to_pylist()
         samples = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        texts, tied = group["plain"], group["tied"].to_numpy()
-        ties = tied_rows(tied)
+        texts, ties = group["plain"], tied_rows(group["tied"].to_pylist())
         sets: dict[int, tuple] = {}
 
         def of(i: int) -> tuple:
@@ -319,16 +318,16 @@ def verifier(shipped, threshold: float):
             if both >= threshold * (all_u + all_v - both) * (1 - 1e-12):
                 ties.tie(i, j)
                 out.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        return pairs_of(out)
 
     return verify
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, id, class_id, kept for every row of docs (doc_id, text); id: a hash of the text's words. See near_duplicates."""
+    """doc_id, id, class_id, kept for every row of docs (doc_id, text); id: 128 bits of the text's words. See near_duplicates."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", plain(F.col("text")).alias("plain")).withColumn("id", F.xxhash64("plain"))
+    texts = docs.select("doc_id", plain(F.col("text")).alias("plain")).withColumn("id", identity("plain"))
     idf = frequencies(texts, max(1, docs.count()))
     shipped = spark.sparkContext.broadcast(idf.tobytes())
 
@@ -352,27 +351,32 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = durable(texts.select("doc_id", "id", "plain").mapInArrow(sign, f"doc_id {kind}, id bigint, samples binary, bands binary"))
+    rows = durable(texts.select("doc_id", "id", "plain").mapInArrow(sign, f"doc_id {kind}, id binary, samples binary, bands binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id"))
-    signed = rows.filter(F.col("samples").isNotNull()).groupBy("id").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"))
-    signed = durable(signed)
-    groups = components(candidates(signed))
-    leads = rows.groupBy("id").agg(first.alias("lead"))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    members = groups.join(signed.select("id", "samples"), "id").join(leads, "id").join(sizes, "component")
-    members = durable(members.select("id", F.col("component").alias("tied"), "component", "samples", F.col("lead.doc_id").alias("doc_id"), "members"))
+    # one row for each text: its copies meet here, and are minima before they are shuffled
+    signed = durable(rows.groupBy("id").agg(F.max("samples").alias("samples"), F.max("bands").alias("bands"), first.alias("lead"), F.count("*").alias("copies")))
+    full = signed.filter(F.col("samples").isNotNull())
+    groups = components(candidates(full))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members")).withColumn("n", F.col("members"))
+    members = attach(groups, sizes, "component", "id").join(full.select("id", "samples", F.col("lead.doc_id").alias("doc_id")), "id")
+    members = durable(members.select("id", F.col("component").alias("tied"), "component", "samples", "doc_id", "members"))
     on = texts["id"].eqNullSafe(members["id"]) & texts["doc_id"].eqNullSafe(members["doc_id"])
     whole = texts.join(members, on).select(members["id"], "component", "samples", "members", "plain").dropDuplicates(["id"])
     verify = verifier(shipped, threshold)
     jobs = led(whole).withColumn("tied", F.col("id"))
-    links = durable(jobs.groupBy("component", "job").applyInArrow(verify, "a bigint, b bigint"))
+    links = durable(jobs.groupBy("component", "job").applyInArrow(verify, LINKS))
     if not members.filter(F.col("members") > 2 * LEADERS).isEmpty():
         links = links.unionAll(leftovers(texts, members, links, verify))
     found = components(links).withColumnRenamed("component", "root")
-    known = leads.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    known = durable(known)
-    known = known.join(known.groupBy("root").agg(F.min("lead").alias("best")), "root")
-    out = rows.select("doc_id", "id").join(known.select("id", F.col("best.doc_id").alias("class_id")), "id")
+    leads = signed.select("id", "lead", "copies")
+    tied = durable(leads.join(found, "id"))
+    best = tied.groupBy("root").agg(F.min("lead").alias("best"), F.count("*").alias("n"))
+    known = attach(tied, best, "root", "id").select("id", "best", "copies")
+    known = known.unionByName(leads.join(found, "id", "left_anti").select("id", F.col("lead").alias("best"), "copies"))
+    known = known.select("id", F.col("best.doc_id").alias("class_id"), F.col("copies").alias("n"))
+    # rows of one text may be many: they are told apart by their ids
+    told = rows.select("doc_id", "id").withColumn("turn", identity("doc_id"))
+    out = attach(told, known, "id", "turn")
     return out.select("doc_id", "id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
@@ -381,10 +385,12 @@ def leftovers(texts: DataFrame, members: DataFrame, links: DataFrame, verify) ->
     parts = components(links).withColumnRenamed("component", "part")
     wide = members.filter(F.col("members") > 2 * LEADERS).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     wide = durable(wide.select("id", "component", "samples", "doc_id", "members", "part"))
-    wide = wide.join(open_groups(wide, "component"), "component")
+    # groups that are still open: few, and of each a row
+    open_ = open_groups(wide, "component").withColumn("n", F.lit(HOT_GROUP))
+    wide = attach(wide, open_, "component", "id")
     on = texts["id"].eqNullSafe(wide["id"]) & texts["doc_id"].eqNullSafe(wide["doc_id"])
     wide = texts.join(wide, on).select(wide["id"], "component", "samples", "plain", "part", "main", "rests", "blocks").dropDuplicates(["id"])
-    return leftover_jobs(wide).withColumn("tied", F.col("part")).groupBy("component", "job").applyInArrow(verify, "a bigint, b bigint")
+    return leftover_jobs(wide).withColumn("tied", F.col("part")).groupBy("component", "job").applyInArrow(verify, LINKS)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -393,19 +399,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     class_id: the smallest doc_id of the class. kept: this is that document. Texts are of one class if
     they have the same words in order, or if links lead from one to the other; a link is a weighted
     Jaccard similarity of `threshold` or more. Null texts count as empty; texts without
-    words are all alike, of one class. Null ids come after all others. Repeated rows are copies, in
+    words are all alike, of one class; a text of fewer words than a shingle is one shingle. Very long texts are
+    taken whole: all their shingles are weighed, sampled and compared. Null ids come after all others. Repeated rows are copies, in
     one class. Other columns are not read; an empty table gives an empty one.
     """
     return classes(docs, threshold).drop("id")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each class."""
-    i, n = fresh(docs, "near_id", "near_turn")
-    kept = classes(docs, threshold).filter("kept").select(F.col("doc_id").alias("near:doc"), F.col("id").alias("near:id")).distinct()
-    keyed = docs.withColumn(i, F.xxhash64(plain(F.col("text"))))
-    from pyspark.sql import Window
-
-    both = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["near:doc"]) & (keyed[i] == kept["near:id"]))
-    both = both.withColumn(n, F.row_number().over(Window.partitionBy("near:doc", "near:id").orderBy(F.lit(0))))
-    return both.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns: one of each class, that of the smallest doc_id (null last).
+
+    Of rows with one id and one text, that with the smallest hash of all its columns stays; of rows equal in all of them, one.
+    Null and empty texts are one class; very long texts are compared whole; an empty table gives an empty one. Other columns may have any names.
+    """
+    i, n, d, k, h = fresh(docs, "near_id", "near_least", "near_doc", "near_key", "near_row")
+    kept = classes(docs, threshold).filter("kept").select(F.col("doc_id").alias(d), F.col("id").alias(k)).distinct()
+    keyed = docs.withColumn(h, row_hash(docs)).withColumn(i, identity(plain(F.col("text"))))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    both = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[d]) & (keyed[i] == kept[k]))
+    both = both.groupBy(F.col(i), F.col(d)).agg(F.min_by(whole, F.col(h)).alias(n))
+    return both.select(*[F.col(n).getField(c).alias(c) for c in docs.columns])

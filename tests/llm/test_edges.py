@@ -98,6 +98,23 @@ def test_near_duplicates_keep_one_of_repeated_rows(docs):
     assert sum(not (r["text"] or "").strip() for r in left) == 1
 
 
+@pytest.mark.parametrize("stage", [minhash.deduplicated, mixing.mixed, suffix.cut_out])
+def test_columns_of_the_operators_own_names(spark, stage):
+    names = ["near:id", "near:doc", "near_row", "mix:base", "mix:more", "mix_n", "hot key", "found value", "id", "component", "more", "row", "turn", "string", "NEAR_ID"]
+    rows = [(1, PROSE, "en", "a", 1), (2, PROSE, "en", "a", 1), (2, PROSE, "en", "a", 1), (None, None, None, None, None)]
+    made = spark.createDataFrame(rows, SCHEMA)
+    for n in names:
+        made = made.withColumn(n, F.lit(n))
+    out = stage(made)
+    assert out.columns == made.columns and all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_of_rows_with_one_id_and_text_the_same_one_stays(spark):
+    rows = [(1, PROSE, "en", s, 1) for s in "abcdefgh"] + [(2, "other words", "fr", s, 1) for s in "xyz"]
+    kept = {tuple(sorted((r["doc_id"], r["source"]) for r in minhash.deduplicated(spark.createDataFrame(rows[k:] + rows[:k], SCHEMA).repartition(1 + k % 4)).collect())) for k in (0, 3, 7)}
+    assert len(kept) == 1
+
+
 def test_repeats_of_repeated_rows(docs):
     rows = [r for r in suffix.removals(docs).collect() if r["doc_id"] == 1]
     size = len(PROSE) * 3

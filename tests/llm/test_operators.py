@@ -137,6 +137,25 @@ def test_mix_of_many_and_of_equal_rows(spark):
     assert taken == rows.taken.sum()
 
 
+def test_targets_of_many_sources(spark):
+    """Against the rule itself, with more sources than tasks, sources without words, and null."""
+    sizes = {None if i == 0 else f"s{i:04d}" if i % 3 else f"S/{i}é": (i * 7919) % 1000 * (i % 5 > 0) for i in range(300)}
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint"), (3, 1, 2), 1.5, 2.0).collect()}
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    rest, open_, target = 1.5 * sum(sizes.values()), set(names), {}
+    while True:
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 2 * sizes[s] for s in over}
+        rest -= sum(2 * sizes[s] for s in over)
+        open_ -= over
+    target |= share
+    assert got.keys() == sizes.keys() and all(got[s][0] == sizes[s] and got[s][1] == pytest.approx(target[s]) for s in names)
+
+
 def brute_links(x: np.ndarray, threshold: float = 0.9):
     near = x @ x.T >= threshold
     np.fill_diagonal(near, True)
@@ -231,6 +250,8 @@ def test_op1(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(minhash, "BLOCK", 3)
         monkeypatch.setattr(minhash, "LEADERS", 1)
+        monkeypatch.setattr(minhash, "SHARE", 20)
+        monkeypatch.setattr(graph, "HOT", 2)
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
     texts = {}
@@ -258,7 +279,7 @@ def test_op1(spark, monkeypatch, small):
     got = {r["doc_id"]: r["class_id"] for r in rows}
     sure = [i for i in texts if up[i] not in {up[u] for u in unsure}]
     assert len(sure) > 20 and all(got[i] == up[i] for i in sure)
-    assert all(got[i] == got[j] for i in texts for j in texts if up[i] == up[j])
+    assert [(i, j, got[i], got[j]) for i in texts for j in texts if up[i] == up[j] and got[i] != got[j]] == []
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows)
 
 
@@ -278,6 +299,29 @@ def test_samples_agree_as_weighted_sets_do():
     assert abs(np.mean(got) - np.mean(expected)) < 0.03
 
 
+@pytest.mark.parametrize("shingles", [400, 20_000, 100_000])
+def test_samples_agree_in_large_sets_of_a_hot_group(shingles):
+    """Shared shingles weigh less than changed ones, as in a group that holds a third of all rows."""
+    rng, sampler = np.random.default_rng(2), minhash.Sampler()
+    got = []
+    for _ in range(8):
+        h = np.unique(rng.integers(1, 1 << 63, shingles).astype(np.uint64))
+        changed = int(h.size * 0.06)
+        a, b = h[changed:], h[: h.size - changed]
+        weigh = lambda x: np.log(np.where(np.isin(x, h[changed : h.size - changed]), 0.79, 1.0))  # noqa: B023, E731
+        got.append((sampler(a, weigh(a)) == sampler(b, weigh(b))).mean())
+    shared, own = 0.79 * (1 - 2 * 0.06), 2 * 0.06
+    assert abs(np.mean(got) - shared / (shared + own)) < 0.04 and min(got) > minhash.LIKELY
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_attached_rows(spark, hot):
+    rows = spark.createDataFrame([(k, k * 100 + i) for k in range(6) for i in range(k * 3)], "k bigint, own bigint")
+    per = rows.groupBy("k").agg(F.max("own").alias("top"), F.count("*").alias("n")).filter("k <> 2")
+    got = graph.attach(rows, per, "k", "own", hot).collect()
+    assert sorted(map(tuple, got)) == [(k, k * 100 + i, k * 100 + k * 3 - 1) for k in range(6) if k != 2 for i in range(k * 3)]
+
+
 def brute_removals(rows, width):
     seen, out = set(), {}
     for i, t in sorted(rows):
