@@ -4,6 +4,8 @@ The tree builder puts in what authors leave out (ends of paragraphs, list items,
 rows, missing table rows) and ignores ends that match nothing. The renderer drops what
 is not shown (scripts, styles, the head, hidden elements), collapses white space as
 browsers do, sets blocks apart, marks and indents list items, and aligns the columns of tables.
+Formulas and drawings show their text, without what describes or defines it. Neither tree nor
+rendering recurse, so elements may be nested as deep as a page has bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from cairn.llm.common import small_batches
 
 # Element names of the public HTML standard, by their role in parsing and layout.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"script", "style", "head", "title", "template", "noscript", "noframes", "datalist", "object", "iframe", "audio", "video", "canvas", "svg", "math", "meta", "link", "base", "param", "rp"}
+UNSEEN = {"script", "style", "head", "title", "template", "noscript", "noframes", "datalist", "object", "iframe", "audio", "video", "canvas", "meta", "link", "base", "param", "rp"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "menu", "table", "blockquote", "pre", "figure", "hr", "fieldset"}
+UNSEEN_IN_DRAWINGS = {"desc", "defs", "metadata", "symbol", "marker", "pattern", "mask", "clippath", "lineargradient", "radialgradient", "filter", "annotation", "annotation-xml"}
+APART_IN_DRAWINGS = {"text", "textpath", "mfrac", "mtr", "mtd", "msqrt"}
 PLAIN_BLOCKS = {"html", "body", "div", "article", "section", "nav", "aside", "header", "footer", "main", "address", "form", "figcaption", "details", "summary", "dialog", "legend", "center", "li", "dt", "dd", "optgroup", "option", "caption", "search", "hgroup"}
 ENDS_PARAGRAPH = (SPACED | PLAIN_BLOCKS | {"dl", "hr"}) - {"html", "body", "option", "optgroup", "caption", "legend"}
 HEAD_ONLY = {"meta", "link", "base", "title", "style", "script", "noscript", "template"}
@@ -43,7 +47,8 @@ ENDS = {
 SCOPES = {"table", "td", "th", "caption", "html", "button", "template"}
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-DEEPEST = 400
+#: Columns beyond which deeper lists are indented no more; their text goes on.
+MOST_INDENT = 64
 
 
 class Node:
@@ -54,42 +59,48 @@ class Node:
 
 
 class Builder(HTMLParser):
-    """Builds the tree; text is a str among the children."""
+    """Builds the tree; text is a str among the children. at: where in the open elements those of each tag are."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.headed = False
+        self.at: dict[str, list[int]] = {"html": [0]}
+
+    def _last(self, names: set[str]) -> int:
+        """The place of the innermost open element of these names; 0, the root, if there is none."""
+        at = self.at
+        return max((at[n][-1] for n in names if at.get(n)), default=0)
+
+    def _close(self, place: int) -> None:
+        """Ends the element at place and all within it."""
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
 
     def _end(self, names: set[str], scope: set[str]) -> None:
         """Ends the innermost open element of these, unless the scope comes first; and again, for nested ones."""
-        while True:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in names:
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in scope:
-                    return
-            else:
-                return
+        while (place := self._last(names)) > self._last(scope - names):
+            self._close(place)
 
     def _add(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if len(self.open) < DEEPEST:  # deeper ones are laid in the same place, side by side
-            self.open.append(node)
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _drawing(self) -> bool:
+        return self._last({"svg", "math"}) > self._last({"foreignobject"})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             self.root.attrs |= dict(attrs)
             return
         if tag == "body":
-            if any(n.tag == "head" for n in self.open):
+            if self.at.get("head"):
                 self._end({"head"}, set())
             self.root.attrs |= {k: v for k, v in attrs if k in ("hidden", "style")}
             return
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.open.pop()
+            self._close(len(self.open) - 1)
         if tag in ENDS_PARAGRAPH:
             self._end({"p"}, SCOPES)
         if tag in ENDS:
@@ -103,7 +114,10 @@ class Builder(HTMLParser):
             self._add(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if self._drawing():  # there, and only there, a tag may end itself
+            self.open[-1].children.append(Node(tag, dict(attrs)))
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
@@ -116,18 +130,16 @@ class Builder(HTMLParser):
             scope = {"table"}
         else:
             scope = {"td", "th", "caption", "table"}
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in scope:
-                break
+        place = self._last({tag})
+        if place and place >= self._last(scope):
+            self._close(place)
+            return
         if tag == "p":  # the end of no paragraph is an empty one
             self.open[-1].children.append(Node("p"))
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._close(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -189,7 +201,21 @@ class Page:
         return self.lines
 
 
-def render(node: Node, page: Page, pre: bool = False, depth: int = 0) -> None:
+def called(first):
+    """Runs a generator that yields calls (generators too) and gets their results, to any depth."""
+    stack, value = [first], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+            stack.append(call)
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def render(node: Node, page: Page, pre: bool = False, depth: int = 0, drawing: bool = False):
     for child in node.children:
         if isinstance(child, str):
             page.text(child, pre)
@@ -197,41 +223,51 @@ def render(node: Node, page: Page, pre: bool = False, depth: int = 0) -> None:
         tag = child.tag
         if not shown(child):
             continue
-        if tag == "br":
+        if drawing:
+            if tag in UNSEEN_IN_DRAWINGS:
+                continue
+            if tag in APART_IN_DRAWINGS:
+                page.text(" ", False)
+            yield render(child, page, pre, depth, tag != "foreignobject")
+            if tag in APART_IN_DRAWINGS:
+                page.text(" ", False)
+        elif tag in ("svg", "math"):
+            yield render(child, page, pre, depth, True)
+        elif tag == "br":
             page.newline()
         elif tag == "hr":
             page.block(1)
         elif tag in ("ul", "ol", "menu"):
             page.block(0 if depth else 1)
-            insert(page, listed(child, pre, depth))
+            insert(page, (yield listed(child, pre, depth)))
             page.block(0 if depth else 1)
         elif tag == "table":
             page.block(1)
-            insert(page, tabled(child, pre))
+            insert(page, (yield tabled(child, pre)))
             page.block(1)
         elif tag in ("td", "th"):  # without a table
-            render(child, page, pre, depth)
+            yield render(child, page, pre, depth)
             page.text(" ", False)
         elif tag == "dd":
             page.block(0)
-            insert(page, ["  " + x if x else x for x in inside(child, pre, depth)])
+            insert(page, indented((yield inside(child, pre, depth + 1)), "  ", "  ", depth))
             page.block(0)
         elif tag in SPACED or tag in PLAIN_BLOCKS or tag == "tr":
             apart = 1 if tag in SPACED else 0
             page.block(apart)
-            render(child, page, pre or tag == "pre", depth)
+            yield render(child, page, pre or tag == "pre", depth)
             page.block(apart)
         elif tag == "q":
             page.text("“", pre)
-            render(child, page, pre, depth)
+            yield render(child, page, pre, depth)
             page.text("”", pre)
         elif tag == "input":
             if (child.attrs.get("type") or "text").lower() in ("submit", "reset", "button") and child.attrs.get("value"):
                 page.text(child.attrs["value"], pre)
         elif tag == "textarea":
-            render(child, page, True, depth)
+            yield render(child, page, True, depth)
         else:
-            render(child, page, pre, depth)
+            yield render(child, page, pre, depth)
 
 
 def insert(page: Page, lines: list[str]) -> None:
@@ -241,13 +277,21 @@ def insert(page: Page, lines: list[str]) -> None:
         page.newline()
 
 
-def inside(node: Node, pre: bool, depth: int) -> list[str]:
+def indented(lines: list[str], first: str, rest: str, depth: int) -> list[str]:
+    """lines behind their mark; below MOST_INDENT columns of lists and definitions around them the mark stays and the indentation ends."""
+    if 2 * depth >= MOST_INDENT:
+        rest = ""
+    lines = lines or [""]
+    return [(first + lines[0]).rstrip(" "), *([rest + x if x else x for x in lines[1:]] if rest else lines[1:])]
+
+
+def inside(node: Node, pre: bool, depth: int):
     page = Page()
-    render(node, page, pre, depth)
+    yield render(node, page, pre, depth)
     return page.done()
 
 
-def listed(node: Node, pre: bool, depth: int) -> list[str]:
+def listed(node: Node, pre: bool, depth: int):
     """Lines of a list: a mark before each item, its further lines indented."""
     out: list[str] = []
     start = str(node.attrs.get("start") or "1")
@@ -262,13 +306,11 @@ def listed(node: Node, pre: bool, depth: int) -> list[str]:
         if child.tag != "li":
             holder = Node("div")
             holder.children = [child]
-            out += ["  " + x if x else x for x in inside(holder, pre, depth + 1)]
+            out += indented((yield inside(holder, pre, depth + 1)), "  ", "  ", depth)
             continue
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        lines = inside(child, pre, depth + 1) or [""]
-        out.append((mark + lines[0]).rstrip(" "))
-        out += [" " * len(mark) + x if x else x for x in lines[1:]]
+        out += indented((yield inside(child, pre, depth + 1)), mark, " " * len(mark), depth)
     return out
 
 
@@ -284,27 +326,29 @@ def number_of(node: Node, name: str, most: int) -> int:
     return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def tabled(node: Node, pre: bool) -> list[str]:
+def tabled(node: Node, pre: bool):
     """Lines of a table: its caption, then rows whose cells start in one column each, two spaces apart."""
     captions, rows = [], []
 
-    def walk(n: Node) -> None:
+    def walk(n: Node):
         for child in n.children:
             if isinstance(child, str):
                 if child.strip():
                     captions.append(SPACE.sub(" ", child).strip(" "))
             elif shown(child):
-                if child.tag == "caption":
-                    captions.extend(inside(child, pre, 0))
-                elif child.tag == "tr":
-                    cells = [c for c in child.children if not isinstance(c, str) and shown(c)]
-                    loose = [c for c in child.children if isinstance(c, str) and c.strip()]
-                    captions.extend(SPACE.sub(" ", c).strip(" ") for c in loose)
-                    rows.append([(inside(c, pre, 0), number_of(c, "colspan", 1000), number_of(c, "rowspan", 65534)) for c in cells])
+                if child.tag == "tr":
+                    captions.extend(SPACE.sub(" ", c).strip(" ") for c in child.children if isinstance(c, str) and c.strip())
+                    row = []
+                    for c in child.children:
+                        if not isinstance(c, str) and shown(c):
+                            row.append(((yield inside(c, pre, 0)), number_of(c, "colspan", 1000), number_of(c, "rowspan", 65534)))
+                    rows.append(row)
+                elif child.tag in ("thead", "tbody", "tfoot"):
+                    yield walk(child)
                 elif child.tag not in ("col", "colgroup"):
-                    walk(child) if child.tag in ("thead", "tbody", "tfoot") else captions.extend(inside(child, pre, 0))
+                    captions.extend((yield inside(child, pre, 0)))
 
-    walk(node)
+    yield walk(node)
     grid: list[list[tuple[int, list[str], int]]] = []
     taken: dict[int, int] = {}  # columns that a cell of an earlier row still fills, and for how many rows
     for row in rows:
@@ -349,7 +393,7 @@ def visible_text(html: str) -> str:
     builder.close()
     if not shown(builder.root):
         return ""
-    return "\n".join(inside(builder.root, False, 0))
+    return "\n".join(called(inside(builder.root, False, 0)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -358,14 +402,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null html counts as empty, and has an empty text. Null ids and repeated rows
     stay, one row out for each row in; other columns are not read; an empty table
     gives an empty one. Broken markup never fails: what cannot be read as a tag is
-    text, and elements nested deeper than DEEPEST are laid out at that depth. Nothing is shuffled.
+    text. Pages of any length and depth are read whole. Nothing is shuffled.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
         for batch in batches:
             texts = [visible_text(cell.as_py() or "") for cell in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

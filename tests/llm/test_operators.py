@@ -404,14 +404,47 @@ PAGES = [
     ("<p>a<div>b</p>c</div>", "a\n\nb\n\nc"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"),
     ("</p></table>x</td>", "x"),
+    ("<div>" * 5000 + "<p hidden>secret</p>seen", "seen"),
+    ("<div>" * 450 + "<div hidden>" + "<b>" * 600 + "secret" + "</b>" * 600 + "</div>" + "</div>" * 450 + "seen", "seen"),
+    ("<table><tr><td>" * 300 + "deep", "deep"),
+    ("<p>a<span>" + "<i>" * 3000 + "<script>no</script><style>no</style>b", "ab"),
+    ("<p>x <svg><title>no</title><desc/><defs><text>no</text></defs><text>label</text><text>two</text></svg> y", "x label two y"),
+    ("<math><mfrac><mi>a</mi><mi>b</mi></mfrac><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "ab =1"),
+    ("<svg><foreignObject><p>one<p>two</foreignObject></svg>", "one\n\ntwo"),
 ]
 
 
-@pytest.mark.parametrize(("page", "text"), PAGES)
+@pytest.mark.parametrize(("page", "text"), PAGES, ids=range(len(PAGES)))
 def test_pages(page, text):
     assert html.visible_text(page) == text
 
 
+def test_deep_lists_keep_their_text():
+    lines = html.visible_text("".join(f"<ul><li>item{i}" for i in range(2000))).split("\n")
+    assert [x.strip(" -") for x in lines] == [f"item{i}" for i in range(2000)] and max(map(len, lines)) < 120
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["div", "span", "p", "li", "ul", "table", "tr", "td", "b", "svg", "math", "dl", "dd", "blockquote"]), st.booleans(), st.booleans()), max_size=30), st.integers(0, 2))
+def test_hidden_text_never_shows_and_shown_text_always_does(tags, at):
+    """Random nests of elements, all ended in order: each holds a word of its own, hidden if it or one around it is."""
+    page, expected, hidden, open_ = "", [], 0, []
+    for i, (tag, hide, end) in enumerate(tags):
+        if tag in ("p", "li", "tr", "td", "table", "dd", "svg", "math"):
+            tag = "section"  # only elements that no other element ends
+        page += f"<{tag}{' hidden' if hide else ''}> w{i} "
+        open_.append((tag, hide))
+        hidden += hide
+        if not hidden:
+            expected.append(f"w{i}")
+        if end:
+            tag, hide = open_.pop()
+            page += f"</{tag}>"
+            hidden -= hide
+    words = [w for w in html.visible_text(page).split() if w != "-"]
+    assert words == expected
+
+
 def test_op4_shows_every_visible_word(spark):
     hidden = re.compile(r"<head>.*?</head>|<script>.*?</script>|<!--.*?-->", re.S)
     import html as entities
