@@ -467,7 +467,7 @@ def test_licences_are_known_in_other_dress(spark):
     mit = licenses.LICENCES["MIT"]
     dressed = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace("SUBLICENSE", "SUBLICENSE,").replace("\n", "  \n\t")
     isc = licenses.LICENCES["ISC"].replace("License", "Licence")
-    rows = licenses.licences(spark.createDataFrame([(1, mit), (2, dressed), (3, mit + " x"), (4, isc), (5, "text\nreleased under the mit licence\nmore\nLicensed under CC BY 4.0!")], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    rows = licenses.licences(spark.createDataFrame([(1, mit), (2, dressed), (3, mit + " x"), (4, "ISC Licence\n\n" + isc), (5, "text\nreleased under the mit licence\nmore\nLicensed under CC BY 4.0!")], "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["license_id"] for r in rows] == ["MIT", "MIT", None, "ISC", None] and rows[4]["notice_ids"] == "CC-BY-4.0,MIT"
 
 
