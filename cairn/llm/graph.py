@@ -16,9 +16,16 @@ def attach(rows: DataFrame, per: DataFrame, key: str, own: str, hot: int | None
 
     Keys with more than `hot` rows are copied to SALTS tasks, and their rows are dealt
     among these by `own` (of the key's type, different in most rows); all others are joined as usual, and there a row that has its
-    match already goes where its own id goes. So no task gets all rows of a key that many have.
+    match already goes where its own id goes. So no task gets all rows of a key that many have. Where no key has as many, it is a plain join.
     """
-    hot = HOT if hot is None else hot
+    per = durable(per)
+    if (per.agg(F.max("n")).head()[0] or 0) <= (HOT if hot is None else hot):
+        return rows.join(per.drop("n"), key)
+    return dealt_out(rows, per, key, own, HOT if hot is None else hot)
+
+
+def dealt_out(rows: DataFrame, per: DataFrame, key: str, own: str, hot: int) -> DataFrame:
+    """attach() where some keys are hot."""
     value = F.struct(*[c for c in per.columns if c not in (key, "n")])
     large = per.filter(F.col("n") > hot).select(F.col(key).alias("hot key"), value.alias("hot value"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hot salt"))
     small = per.filter(F.col("n") <= hot).select(F.col(key).alias("cold key"), value.alias("cold value"))
@@ -47,10 +54,17 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        large = attach(both.filter(F.col("y") > F.col("x")), least, "x", "y").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = durable(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
+        # an id has as many smaller neighbours after the first step as it had before, at most
+        many = least.agg(F.max("n")).head()[0] > HOT
+        ahead = both.filter(F.col("y") > F.col("x"))
+        large = dealt_out(ahead, least, "x", "y", HOT) if many else ahead.join(least.drop("n"), "x")
+        large = large.select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        if many:
+            large = durable(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, lowest, "u", "v").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = attach(large, lowest, "u", "v") if many else large.join(lowest, "u")
+        small = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id")).distinct()
