@@ -7,11 +7,12 @@ encoding of each prefix that a later token can start after. A transition carries
 the number of tokens by which the encoding grows (negative where tokens merge).
 States are made when first reached and numbered; equal futures share a state.
 
-White space resets the transducer, so a chunk of text acts on the states as a
-small element of a monoid: the part before its first reset, the tokens emitted
-between, and the part after its last. Texts are cut into chunks at fixed places
-and the elements are composed by a prefix scan in pairs; no word is lost or
-counted twice where a cut falls within it.
+The end of a word resets the transducer, so a chunk of text acts on the states as a
+map: what is left of a word that is under way takes the state on entry to the tokens it emits, all
+words after it emit the same whatever came before, and the word under way at the chunk's end leaves its state, a value that any
+process can take up. Texts are cut near fixed places, before white space or
+inside long runs of letters, and the maps are composed in pairs, by the reduction
+of a prefix scan; no word is lost or counted twice where a cut falls within it.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ MOST_BLOBS, MOST_WORDS, MOST_STATES, MOST_STEPS = 250_000, 120_000, 120_000, 400
 SPACE = r"\t-\r \x85\xa0  -     　"
 NOT_LIBRARY_SPACE = regex.compile(r"[\x1c-\x1f]")
 WORD = regex.compile(rf"[^{SPACE}]+")
+SPACES = regex.compile(rf"[{SPACE}]")
+#: Letters that neither composition nor case ties to their neighbours; and so many of them that a special token or an elision ends before.
+LETTER, RUN = r"A-Za-z\u4e00-\u9fff", 24
+SAFE = regex.compile(rf"(?=[{SPACE}])|(?<=[{LETTER}]{{{RUN}}})(?=[{LETTER}])")
 
 
 def byte_symbols() -> list[str]:
@@ -115,12 +120,16 @@ class Transducer:
             self.states.append(state)
         return self.numbers[state], emitted
 
-    def count(self, word: bytes) -> int:
-        """Tokens of one word, without white space."""
+    def run(self, entry: tuple, word: bytes, whole: bool) -> tuple[tuple, int]:
+        """The state after more bytes of a word, from a state on entry, and the tokens emitted. whole: the word ends with these."""
         if len(self.states) > MOST_STATES or len(self.steps) > MOST_STEPS:
             self._reset()  # only what was learnt; it is made again when needed
-        state = total = 0
-        steps, ends = self.steps, len(word) - 1
+        state = self.numbers.get(entry)
+        if state is None:
+            state = self.numbers[entry] = len(self.states)
+            self.states.append(entry)
+        total = 0
+        steps, ends = self.steps, len(word) - 1 if whole else len(word)
         for i, b in enumerate(word):
             key = state << 9 | (b if i < ends else b + 256)
             got = steps.get(key)
@@ -129,7 +138,11 @@ class Transducer:
                 got = steps[key] = after << 8 | emitted + 128
             state = got >> 8
             total += (got & 255) - 128
-        return total
+        return self.states[state], total
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one word, without white space."""
+        return self.run(self.START, word, True)[1]
 
 
 class Recent(dict):
@@ -179,49 +192,91 @@ class Counter(Recent):
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.of_word = Words(self.machine)
 
-    def plain(self, text: str) -> int:
-        """text without special tokens, normalised as the vocabulary asks: composed, lower case letter by letter."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return sum(map(self.of_word.__getitem__, self.words.findall(text)))
+    def pieces(self, text: str) -> list[str | None]:
+        """The words of a text without white space, normalised as the vocabulary asks (composed, lower case letter by letter), and None for each special token."""
+        out = []
+        for i, part in enumerate(self.special.split(text) if "<" in text else (text,)):
+            if i % 2:
+                out.append(None)
+                continue
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            out += self.words.findall("".join(c.lower() for c in part) if "Σ" in part else part.lower())
+        return out
+
+    def sum(self, pieces: list[str | None]) -> int:
+        return sum(1 if p is None else self.of_word[p] for p in pieces)
 
     def make(self, key: str) -> int:
-        if "<" not in key:
-            return self.plain(key)
-        return sum(1 if i % 2 else self.plain(part) for i, part in enumerate(self.special.split(key)))
+        return self.sum(self.pieces(key))
 
 
 class Chunk(NamedTuple):
-    """How a chunk acts on the state: text before its first reset, tokens emitted after that, text after its last; no reset: all in head."""
+    """A chunk as a map of states: an entry state goes, over head, on to another (no reset), or to the end of its word, some tokens, and state."""
+
+    head: bytes  # what the word under way still gets
+    resets: bool  # whether it ends in the chunk
+    emitted: int  # tokens of what follows it
+    state: tuple  # of the word under way at the chunk's end
 
-    head: str
-    emitted: int
-    tail: str
-    resets: bool
+    def of(self, entry: tuple, machine: Transducer) -> tuple[tuple, int]:
+        """The state and tokens that an entry state goes to."""
+        if not self.resets:
+            return machine.run(entry, self.head, False)
+        return self.state, self.emitted + (machine.run(entry, self.head, True)[1] if self.head else 0)
 
 
-def chunk_of(text: str, counter: Counter) -> Chunk:
+NEUTRAL = Chunk(b"", False, 0, Transducer.START)
+
+
+def chunk_of(text: str, counter: Counter, enters: bool = False, leaves: bool = False) -> Chunk:
+    """enters, leaves: a word is under way at the start, at the end; both lie between two letters."""
     blobs = WORD.findall(text) if NOT_LIBRARY_SPACE.search(text) or not text.strip() else text.split()
-    if not blobs:
-        return Chunk("", 0, "", bool(text))
-    opens, closes = text.startswith(blobs[0]), text.endswith(blobs[-1])
-    if len(blobs) == 1 and opens and closes:
-        return Chunk(text, 0, "", False)
-    head = blobs[0] if opens else ""
-    tail = blobs[-1] if closes else ""
-    inner = blobs[opens : len(blobs) - closes]
-    return Chunk(head, sum(map(counter.__getitem__, inner)), tail, True)
+    start = counter.machine.START
+    if not enters and not leaves:
+        return Chunk(b"", True, sum(map(counter.__getitem__, blobs)), start)
+    first = counter.pieces(blobs[0])
+    if len(blobs) == 1:
+        if enters and leaves and len(first) == 1:
+            return Chunk(first[0].encode("utf-8"), False, 0, start)
+        inner, last = first, first
+    else:
+        inner, last = first, counter.pieces(blobs[-1])
+    emitted = sum(map(counter.__getitem__, blobs[1:-1]))
+    if len(blobs) > 1:
+        inner = inner + last
+    head, state = b"", start
+    if enters:
+        head, inner = inner[0].encode("utf-8"), inner[1:]
+    if leaves:
+        state, on_the_way = counter.machine.run(start, inner[-1].encode("utf-8"), False)
+        inner, emitted = inner[:-1], emitted + on_the_way
+    return Chunk(head, True, emitted + counter.sum(inner), state)
 
 
 def compose(a: Chunk, b: Chunk, counter: Counter) -> Chunk:
-    """First a, then b. Associative; the empty chunk is neutral."""
-    if not a.resets:
-        return Chunk(a.head + b.head, b.emitted, b.tail, b.resets)
-    if not b.resets:
-        return Chunk(a.head, a.emitted, a.tail + b.head, True)
-    met = a.tail + b.head
-    return Chunk(a.head, a.emitted + (counter[met] if met else 0) + b.emitted, b.tail, True)
+    """First a, then b. Associative; NEUTRAL is neutral."""
+    if a.resets:
+        state, emitted = b.of(a.state, counter.machine)
+        return Chunk(a.head, True, a.emitted + emitted, state)
+    return Chunk(a.head + b.head, b.resets, b.emitted, b.state)
+
+
+def cut(text: str, chars: int) -> list[tuple[int, bool]]:
+    """Where chunks end, and whether inside a word: at the first place after each `chars` characters that is before white space, or in a run of letters that no rule of words or special tokens reaches into."""
+    out, at = [], chars
+    while at < len(text) and (found := SAFE.search(text, at)):
+        out.append((found.start(), not SPACES.match(text, found.start())))
+        at = found.start() + chars
+    return [*(x for x in out if x[0] < len(text)), (len(text), False)]
+
+
+def chunks_of(text: str, counter: Counter, chars: int) -> list[Chunk]:
+    out, at, inside = [], 0, False
+    for end, leaves in cut(text, chars):
+        out.append(chunk_of(text[at:end], counter, inside, leaves))
+        at, inside = end, leaves
+    return out
 
 
 def scan(chunks: list[Chunk], counter: Counter) -> list[Chunk]:
@@ -234,11 +289,7 @@ def scan(chunks: list[Chunk], counter: Counter) -> list[Chunk]:
 
 
 def total(text: str, counter: Counter, chunk_chars: int) -> int:
-    if len(text) <= chunk_chars:
-        last = chunk_of(text, counter)
-    else:
-        last = reduce_pairs([chunk_of(text[i : i + chunk_chars], counter) for i in range(0, len(text), chunk_chars)], counter)
-    return sum(counter[x] for x in (last.head, last.tail) if x) + last.emitted
+    return reduce_pairs(chunks_of(text, counter, chunk_chars), counter).emitted
 
 
 def reduce_pairs(chunks: list[Chunk], counter: Counter) -> Chunk:
@@ -262,7 +313,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (columns doc_id, text).
 
     path: the vocabulary file of a word-end byte-pair encoding. Null text counts
-    as empty: 0 bytes, 0 tokens. Null ids and repeated rows stay, one row out for
+    as empty: 0 bytes, 0 tokens; very long texts are counted whole, chunk by chunk. Null ids and repeated rows stay, one row out for
     each row in; other columns are not read; an empty table gives an empty one.
     Nothing is shuffled, and a task holds one batch and a bounded memory of words.
     """

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import common, embeddings, features, graph, html, licenses, minhash, mixing, packing, queries, suffix, token_counts, toxicity
+from cairn.llm import common, embeddings, features, graph, html, licenses, minhash, mixing, packing, quality, queries, suffix, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -45,15 +45,28 @@ def test_token_counts_of_odd_texts(by_words, text, chunk):
     assert token_counts.total(text, known, 1 << 16) == token_counts.total(text, known, chunk) == expected
 
 
-@settings(max_examples=100, deadline=None)
-@given(odd_text, st.lists(st.integers(0, 60), max_size=6))
-def test_chunk_maps_compose_in_any_grouping(text, cuts):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(odd_text, st.text(st.sampled_from("abcXYZ中文"), min_size=0, max_size=90)), max_size=5), st.integers(1, 60), st.integers(0, 5))
+def test_chunk_maps_compose_in_any_grouping(by_words, parts, chars, first):
+    """Long runs of letters are cut inside words: maps then take states on."""
+    text = "".join(a + b for a, b in parts)
     known = token_counts.counter(WORDS)
-    at = sorted({0, *[min(c, len(text)) for c in cuts], len(text)})
-    parts = [token_counts.chunk_of(text[a:b], known) for a, b in zip(at, at[1:], strict=False)]
-    scanned = token_counts.scan(parts, known)
-    if parts:
-        assert scanned[-1] == token_counts.reduce_pairs(parts, known) == token_counts.chunk_of(text, known)
+    chunks = token_counts.chunks_of(text, known, chars)
+    expected = len(by_words.encode(text, add_special_tokens=False).ids)
+    whole = token_counts.reduce_pairs(chunks, known)
+    assert whole == token_counts.scan(chunks, known)[-1] and whole.emitted == expected and whole.resets and whole.state == known.machine.START
+    k = min(first, len(chunks) - 1)
+    left, right = (token_counts.reduce_pairs([token_counts.NEUTRAL, *x], known) for x in (chunks[:k], chunks[k:]))
+    assert token_counts.compose(left, right, known) == whole
+
+
+def test_a_word_without_end_is_counted_in_chunks(by_words):
+    known = token_counts.counter(WORDS)
+    text = "".join(random.Random(9).choices("etaoinshrdlu", k=30_000))
+    chunks = token_counts.chunks_of(text, known, 1000)
+    assert len(chunks) > 20 and sum(c.resets for c in chunks) == 2
+    known.machine._reset()  # states are values: they outlive their numbers
+    assert token_counts.reduce_pairs(chunks, known).emitted == len(by_words.encode(text, add_special_tokens=False).ids)
 
 
 def test_op3(spark, docs, by_words):
@@ -236,7 +249,36 @@ def test_op9_on_held_out_documents(spark):
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in rows.doc_id) and ((rows.score >= 0.5) == (rows.predicted == 1)).all()
     assert (rows.predicted == rows.toxic).mean() > 0.95
     bad = rows[rows.toxic == 1]
-    assert bad.predicted.mean() > 0.7
+    assert bad.predicted.mean() >= 0.9 and rows[rows.predicted == 1].toxic.mean() >= 0.9
+
+
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    """What tells long toxic texts apart stands in the middle of them; a document that does not fit is left out whole."""
+    rng, seen = random.Random(3), []
+    clean = lambda n: " ".join(rng.choices(["house", "tree", "river", "stone", "cloud", "bread"], k=n))
+    rows = [(i, clean(2600) + (" v1le filth " if i % 2 else " ") + clean(2600)) for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    fit = toxicity.fit
+
+    def watched(texts, toxic):
+        texts = list(texts)
+        seen.append([len(t) for t in texts])
+        return fit(texts, toxic)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert set(seen[0]) == {5200, 5202} and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+    toxicity.train(docs, labels, words=12_000)
+    assert len(seen[1]) == 4
+
+
+def test_op8_on_labels_it_has_not_seen(spark):
+    data = "/root/testdata/sf0.1"
+    labels = common.table(spark, data, "labels")
+    apart = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    rows = quality.quality(common.table(spark, data, "documents"), labels.filter(~apart)).join(labels.filter(apart).select("doc_id", F.col("quality").alias("label")).filter("label is not null"), "doc_id").toPandas()
+    assert len(rows) > 300 and ((rows["quality"] >= 0.5) == (rows.label == 1)).mean() > 0.9
 
 
 def sets_of(text):
