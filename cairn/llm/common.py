@@ -26,12 +26,18 @@ def durable_dir(spark: SparkSession) -> str:
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what durable() has written in this process; results that were built on it must have been written by then."""
+def made() -> int:
+    """How many folders durable() has written in this process."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what durable() has written in this process since there were `since` folders, but the last `keep`; results that were built on it must have been written by then."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        at = path(_made.pop())
+    for name in _made[since : len(_made) - keep]:
+        at = path(name)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(name)
 
 
 def durable(df: DataFrame) -> DataFrame:

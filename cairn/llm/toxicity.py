@@ -18,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import give_back, small_batches
+from cairn.llm.common import durable, give_back, small_batches
 from cairn.llm.quality import sigmoid
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: A word has a letter; digits within it stay, as they stand for letters where words are disguised.
+WORDS = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 WINDOW, STRIDE = 64, 48
 HIDDEN, DIM = 12, 6
-GRAMS, GRAM_BITS = (3, 4, 5), 17
+GRAMS, GRAM_BITS = (3, 4, 5, 6), 17
 VOCABULARY, LEAST_WORDS = 4096, 24
 #: Standard errors by which a word or n-gram has to lean to start as toxic.
-CLEAR = 3.0
-SAMPLE, SAMPLE_WINDOWS = 2000, 64
+CLEAR = 2.0
+#: Of either label, documents and words of whole texts that the network learns from.
+SAMPLE, SAMPLE_WORDS = 2000, 800_000
 REMEMBERED = 1 << 17
 BATCH = 1024
 f32 = np.float32
@@ -356,12 +358,12 @@ def remainder() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """The network, from at most `sample` labelled documents of either label, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Network | None:
+    """The network, from at most `sample` labelled documents of either label, none of them held out, and at most `words` words of these.
 
-    Those that come first by a hash of their id are taken, one text for an id, and
-    of each at most SAMPLE_WINDOWS windows, evenly spaced, so that what comes to
-    the driver is bounded whatever the texts' length.
+    Those that come first by a hash of their id are taken, one text for an id. Texts are taken whole: a document whose
+    words no longer fit is left out, and the next one is looked at. So what comes to the driver is bounded, whatever the
+    texts' length.
     """
     of = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder() != 0))
     of = of.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -371,18 +373,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cell in batch.column(2):
-                words = WORDS.findall(cell.as_py().lower())
-                if len(words) > SAMPLE_WINDOWS * WINDOW:
-                    starts = np.linspace(0, len(words) - WINDOW, SAMPLE_WINDOWS).astype(int)
-                    words = [w for s in starts for w in words[s : s + WINDOW]]
-                out.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "label", "words"])
+            found = [WORDS.findall(cell.as_py().lower()) for cell in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([len(w) for w in found], pa.int64()), pa.array([" ".join(w) for w in found], pa.string())], names=["doc_id", "label", "n", "words"])
 
-    found = rows.mapInArrow(run, "doc_id string, label int, words string").collect()
-    found.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
-    return fit((r["words"].split() for r in found), np.array([r["label"] for r in found], np.int64)) if found else None
+    found = durable(rows.mapInArrow(run, "doc_id string, label int, n bigint, words string"))
+    sizes = sorted(found.select("doc_id", "label", "n").collect(), key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
+    if not sizes:
+        return None
+    taken, room = [], [words, words]
+    for r in sizes:
+        if r["n"] <= room[r["label"]]:
+            room[r["label"]] -= r["n"]
+            taken.append(r)
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in taken], "doc_id string")
+    texts = {r["doc_id"]: r["words"] for r in found.select("doc_id", "words").join(F.broadcast(wanted), "doc_id").toLocalIterator()}
+    return fit((texts.pop(r["doc_id"]).split() for r in taken), np.array([r["label"] for r in taken], np.int64))
 
 
 def hash_of(key: str) -> int:
@@ -418,7 +423,10 @@ def scores_of(scorer: Scorer, column) -> np.ndarray:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under threshold; all where the labels have one value only."""
+    """The rows of docs, with all their columns, whose score is under threshold; all where the labels have one value only.
+
+    Null, empty and very long texts and repeated rows are scored as in toxicity(), each row by itself; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     net = train(docs, labels, sample)
     if net is None:
@@ -440,7 +448,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
 
     score: the probability of label 1, from the text alone; 0 for all where the
     labels have one value only. predicted: 1 at threshold or more. Null and empty
-    texts have one empty window and are scored as such. A null id is not held out. Repeated rows stay, one
+    texts have one empty window and are scored as such; very long ones are scored in all their windows. A null id is not held out. Repeated rows stay, one
     row out for each row in; other columns are not read; an empty table gives an
     empty one. Nothing is shuffled but the sample.
     """

@@ -78,5 +78,7 @@ def test_packing(stages):
 
 
 def test_run(spark, stages):
+    before = common.made()
     rows = corpus_pipeline.run(spark, DATA).toPandas()
+    assert common.made() - before <= 4  # the last stage's input and its own folders: all others are gone
     assert sorted(map(tuple, rows[["doc_id", "start", "length", "ids_crc32"]].values.tolist())) == sorted(map(tuple, stages[4][1][["doc_id", "start", "length", "ids_crc32"]].values.tolist()))
