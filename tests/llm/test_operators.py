@@ -243,13 +243,30 @@ def test_op8_agrees_with_labels(spark):
     assert ((rows["quality"] >= 0.5) == (rows.label == 1)).mean() > 0.9
 
 
-def test_op9_on_held_out_documents(spark):
-    data = "/root/testdata/sf0.1"
-    rows = queries.op9_toxicity(spark, data).join(common.table(spark, data, "labels"), "doc_id").filter("held_out and toxic is not null").toPandas()
+def test_op9_on_held_out_documents(spark, monkeypatch):
+    """Accuracy on documents that training never saw; and that it falls without the network's vectors, or without its recurrence."""
+    data, fit, nets = "/root/testdata/sf0.1", toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: nets.append(fit(texts, toxic)) or nets[0])
+    rows = queries.op9_toxicity(spark, data).join(common.table(spark, data, "labels"), "doc_id").filter("held_out and toxic is not null")
+    rows = rows.join(common.table(spark, data, "documents").select("doc_id", "text"), "doc_id").toPandas()
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in rows.doc_id) and ((rows.score >= 0.5) == (rows.predicted == 1)).all()
-    assert (rows.predicted == rows.toxic).mean() > 0.95
+    right = (rows.predicted == rows.toxic).mean()
+    assert right > 0.95
     bad = rows[rows.toxic == 1]
     assert bad.predicted.mean() > 0.85 and rows[rows.predicted == 1].toxic.mean() > 0.9
+    [net], rng = nets, np.random.default_rng(0)
+
+    def without(**changed) -> float:
+        held = dict(net.p)
+        net.p.update(changed)
+        score = toxicity.Scorer(net).scores([t or "" for t in rows.text])
+        net.p.update(held)
+        return max(((score >= at) == (rows.toxic == 1)).mean() for at in np.quantile(score, np.linspace(0, 1, 100)))
+
+    words = net.p["words"].copy()
+    words[1:] = words[1:][rng.permutation(len(words) - 1)]
+    assert without(words=words, grams=net.p["grams"][rng.permutation(len(net.p["grams"]))]) < right - 0.06
+    assert without(uf=net.p["uf"] * 0, ub=net.p["ub"] * 0) < right - 0.02
 
 
 def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
