@@ -35,7 +35,8 @@ def upload(store: Store, files: DataFrame, size: int = CHUNK_SIZE, most_chunks:
 
     Names are last parts of paths; rows of one name are numbered by timestamp, then path, then digest; equal rows are
     versions of their own. Rows without a name or payload, and payloads of more than most_chunks chunks, are left out
-    (upload_status tells why). Only what identifies rows is sorted or counted, no payload.
+    (upload_status tells why). Only what identifies rows is sorted, counted or joined, no payload: payloads are cut where they are read,
+    and only distinct chunks move.
     """
     named = files.select(base_name(F.col("name")).alias("name"), F.col("name").alias("path"), "timestamp", "data")
     named = named.filter(F.col("name").isNotNull() & (F.octet_length("data") <= size * most_chunks)).withColumn("whole", digest(F.col("data")))
@@ -44,13 +45,14 @@ def upload(store: Store, files: DataFrame, size: int = CHUNK_SIZE, most_chunks:
     before = F.sum("copies").over(Window.partitionBy("name").orderBy("timestamp", "path", "whole").rowsBetween(Window.unboundedPreceding, -1))
     kinds = kinds.withColumn("before", F.coalesce(before, F.lit(0))).join(next_versions(store.manifests, named), "name")
     kinds = kinds.select(*[F.col(c).alias(f"k_{c}") for c in alike], (F.col("next_version") + F.col("before")).alias("version"), "copies")
+    cut = slices(named, size)
+    lists = cut.groupBy(*alike).agg(F.array_sort(F.collect_set(F.struct("idx", "hash", "n"))).alias("all"))
     same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in alike]
-    cut = slices(named.join(kinds, same[0] & same[1] & same[2] & same[3]).select("name", "timestamp", "version", "copies", "data"), size)
-    lists = cut.groupBy("name", "timestamp", "version", "copies").agg(F.array_sort(F.collect_set(F.struct("idx", "hash", "n"))).alias("all"))
+    lists = lists.join(kinds, same[0] & same[1] & same[2] & same[3])
     lists = lists.select("name", F.explode(F.sequence("version", F.col("version") + F.col("copies") - 1)).alias("version"), "timestamp", "all")
     total = F.aggregate("all", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["n"])
     made = lists.select("name", "version", F.size("all").cast("bigint").alias("num_chunks"), total.alias("file_size"), "timestamp", F.transform("all", lambda x: x["hash"]).alias("chunk_hashes"))
-    return Upload(made, new_chunks(cut, store.chunks), cut)
+    return Upload(made, new_chunks(cut, store.chunks), cut.drop("path", "whole"))
 
 
 def upload_status(files: DataFrame, size: int = CHUNK_SIZE, most_chunks: int = MOST_CHUNKS) -> DataFrame:
