@@ -147,9 +147,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.001
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cls")
     known = classes.drop("e").join(links, "cls", "left").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    known = durable(known.withColumnRenamed("n", "copies"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    known = attach(known, least, "component", "cls").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    known = durable(known)
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = attach(known, least, "component").select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "cls").join(known, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -7,34 +7,15 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import durable
 
-#: Rows beyond which a key is dealt out to several tasks, and to how many.
-HOT, SALTS = 1024, 32
 
+def attach(rows: DataFrame, per: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of per, which has one row for each key; rows without one go.
 
-def attach(rows: DataFrame, per: DataFrame, key: str, own: str, hot: int | None = None) -> DataFrame:
-    """rows with the columns of per but n; per has one row for each key, and n: how many of rows have that key. Rows without one go.
-
-    Keys with more than `hot` rows are copied to SALTS tasks, and their rows are dealt
-    among these by `own` (of the key's type, different in most rows); all others are joined as usual, and there a row that has its
-    match already goes where its own id goes. So no task gets all rows of a key that many have. Where no key has as many, it is a plain join.
+    per is mostly an aggregate of rows, and a key may have any share of these. It is written and read again, so both sides
+    of the join are read from where they lie: a small one is broadcast by its known size, and in a join of two large ones
+    adaptive execution splits the rows of a key that many have, which it cannot where the aggregate is part of the same stage.
     """
-    per = durable(per)
-    if (per.agg(F.max("n")).head()[0] or 0) <= (HOT if hot is None else hot):
-        return rows.join(per.drop("n"), key)
-    return dealt_out(rows, per, key, own, HOT if hot is None else hot)
-
-
-def dealt_out(rows: DataFrame, per: DataFrame, key: str, own: str, hot: int) -> DataFrame:
-    """attach() where some keys are hot."""
-    value = F.struct(*[c for c in per.columns if c not in (key, "n")])
-    large = per.filter(F.col("n") > hot).select(F.col(key).alias("hot key"), value.alias("hot value"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hot salt"))
-    small = per.filter(F.col("n") <= hot).select(F.col(key).alias("cold key"), value.alias("cold value"))
-    salted = F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
-    out = rows.join(large, (F.col(key) == F.col("`hot key`")) & (salted == F.col("`hot salt`")), "left")
-    out = out.join(small, F.when(F.col("`hot value`").isNull(), F.col(key)).otherwise(F.col(own)) == F.col("`cold key`"), "left")
-    found = F.coalesce("`hot value`", "`cold value`")
-    out = out.withColumn("found value", found).filter(F.col("`found value`").isNotNull())
-    return out.select(*rows.columns, *[F.col("`found value`")[c].alias(c) for c in per.columns if c not in (key, "n")])
+    return rows.join(durable(per), key)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each id's larger neighbours are
     tied to its smallest one, then its smaller neighbours are. Links stay as many as
     ids at most after each round, rounds are about the logarithm of the widest
-    component, and minima are gathered before rows are shuffled; ids with many neighbours are dealt out. Null ends and
+    component, and minima are gathered before rows are shuffled and written before they are joined (see attach). Null ends and
     links of an id to itself tie nothing. No list of links leaves the executors.
     """
     now = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -54,17 +35,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = durable(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
-        # an id has as many smaller neighbours after the first step as it had before, at most
-        many = least.agg(F.max("n")).head()[0] > HOT
-        ahead = both.filter(F.col("y") > F.col("x"))
-        large = dealt_out(ahead, least, "x", "y", HOT) if many else ahead.join(least.drop("n"), "x")
-        large = large.select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        if many:
-            large = durable(large)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, lowest, "u", "v") if many else large.join(lowest, "u")
-        small = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = attach(both.filter(F.col("y") > F.col("x")), least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = durable(large)
+        lowest = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id")).distinct()

@@ -40,8 +40,6 @@ STRIP = 256
 #: Rows of buckets that are looked through together.
 SHARE = 200_000
 LINKS = "a binary, b binary"
-#: Groups that leaders leave open have more rows than a task should get.
-HOT_GROUP = 1 << 62
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +181,10 @@ class Ties:
         self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def links(self, heads: list[int]) -> list[tuple[int, int]]:
+        """From the first of each tree to each of heads in it. Stars, so that components are found in few rounds."""
+        return [(self.root(i), i) for i in heads if self.root(i) != i]
+
 
 def tied_rows(tied: list) -> Ties:
     """Rows with one value are tied."""
@@ -191,13 +193,13 @@ def tied_rows(tied: list) -> Ties:
 
 
 def forest(samples: np.ndarray, tied: list) -> list[tuple[int, int]]:
-    """Links between rows that tie what their likely pairs tie, and is not tied yet."""
-    ties, out = tied_rows(tied), []
+    """Links that tie what the rows' likely pairs tie, and is not tied yet: from the first row of each tree to the first of each class in it."""
+    ties = tied_rows(tied)
+    heads = [i for i, up in enumerate(ties.up) if up == i]
     for i, j, _ in agreeing(samples, samples):
         for x, y in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
-            if ties.tie(x, y):
-                out.append((x, y))
-    return out
+            ties.tie(x, y)
+    return ties.links(heads)
 
 
 def led(rows: DataFrame) -> DataFrame:
@@ -295,6 +297,7 @@ def verifier(shipped, threshold: float):
         ids = group["id"].to_pylist()
         samples = np.frombuffer(b"".join(group["samples"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
         texts, ties = group["plain"], tied_rows(group["tied"].to_pylist())
+        heads = [i for i, up in enumerate(ties.up) if up == i]
         sets: dict[int, tuple] = {}
 
         def of(i: int) -> tuple:
@@ -306,7 +309,6 @@ def verifier(shipped, threshold: float):
 
         found = [np.concatenate(x) for x in zip(*((i[i < j], j[i < j], n[i < j]) for i, j, n in agreeing(samples, samples)), strict=True)]
         order = np.argsort(-found[2].astype(np.int64), kind="stable")
-        out = []
         for i, j in zip(found[0][order].tolist(), found[1][order].tolist(), strict=True):
             if ties.root(i) == ties.root(j):
                 continue
@@ -317,8 +319,7 @@ def verifier(shipped, threshold: float):
             both = np.minimum(u[x], v[y]).sum()
             if both >= threshold * (all_u + all_v - both) * (1 - 1e-12):
                 ties.tie(i, j)
-                out.append((ids[i], ids[j]))
-        return pairs_of(out)
+        return pairs_of([(ids[i], ids[j]) for i, j in ties.links(heads)])
 
     return verify
 
@@ -354,11 +355,11 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows = durable(texts.select("doc_id", "id", "plain").mapInArrow(sign, f"doc_id {kind}, id binary, samples binary, bands binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id"))
     # one row for each text: its copies meet here, and are minima before they are shuffled
-    signed = durable(rows.groupBy("id").agg(F.max("samples").alias("samples"), F.max("bands").alias("bands"), first.alias("lead"), F.count("*").alias("copies")))
+    signed = durable(rows.groupBy("id").agg(F.max("samples").alias("samples"), F.max("bands").alias("bands"), first.alias("lead")))
     full = signed.filter(F.col("samples").isNotNull())
     groups = components(candidates(full))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members")).withColumn("n", F.col("members"))
-    members = attach(groups, sizes, "component", "id").join(full.select("id", "samples", F.col("lead.doc_id").alias("doc_id")), "id")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    members = attach(groups, sizes, "component").join(full.select("id", "samples", F.col("lead.doc_id").alias("doc_id")), "id")
     members = durable(members.select("id", F.col("component").alias("tied"), "component", "samples", "doc_id", "members"))
     on = texts["id"].eqNullSafe(members["id"]) & texts["doc_id"].eqNullSafe(members["doc_id"])
     whole = texts.join(members, on).select(members["id"], "component", "samples", "members", "plain").dropDuplicates(["id"])
@@ -368,15 +369,12 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     if not members.filter(F.col("members") > 2 * LEADERS).isEmpty():
         links = links.unionAll(leftovers(texts, members, links, verify))
     found = components(links).withColumnRenamed("component", "root")
-    leads = signed.select("id", "lead", "copies")
+    leads = signed.select("id", "lead")
     tied = durable(leads.join(found, "id"))
-    best = tied.groupBy("root").agg(F.min("lead").alias("best"), F.count("*").alias("n"))
-    known = attach(tied, best, "root", "id").select("id", "best", "copies")
-    known = known.unionByName(leads.join(found, "id", "left_anti").select("id", F.col("lead").alias("best"), "copies"))
-    known = known.select("id", F.col("best.doc_id").alias("class_id"), F.col("copies").alias("n"))
-    # rows of one text may be many: they are told apart by their ids
-    told = rows.select("doc_id", "id").withColumn("turn", identity("doc_id"))
-    out = attach(told, known, "id", "turn")
+    best = tied.groupBy("root").agg(F.min("lead").alias("best"))
+    known = attach(tied, best, "root").select("id", "best")
+    known = known.unionByName(leads.join(found, "id", "left_anti").select("id", F.col("lead").alias("best")))
+    out = attach(rows.select("doc_id", "id"), known.select("id", F.col("best.doc_id").alias("class_id")), "id")
     return out.select("doc_id", "id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
@@ -385,9 +383,7 @@ def leftovers(texts: DataFrame, members: DataFrame, links: DataFrame, verify) ->
     parts = components(links).withColumnRenamed("component", "part")
     wide = members.filter(F.col("members") > 2 * LEADERS).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     wide = durable(wide.select("id", "component", "samples", "doc_id", "members", "part"))
-    # groups that are still open: few, and of each a row
-    open_ = open_groups(wide, "component").withColumn("n", F.lit(HOT_GROUP))
-    wide = attach(wide, open_, "component", "id")
+    wide = attach(wide, open_groups(wide, "component"), "component")
     on = texts["id"].eqNullSafe(wide["id"]) & texts["doc_id"].eqNullSafe(wide["doc_id"])
     wide = texts.join(wide, on).select(wide["id"], "component", "samples", "plain", "part", "main", "rests", "blocks").dropDuplicates(["id"])
     return leftover_jobs(wide).withColumn("tied", F.col("part")).groupBy("component", "job").applyInArrow(verify, LINKS)

@@ -310,7 +310,6 @@ def test_op1(spark, monkeypatch, small):
         monkeypatch.setattr(minhash, "BLOCK", 3)
         monkeypatch.setattr(minhash, "LEADERS", 1)
         monkeypatch.setattr(minhash, "SHARE", 20)
-        monkeypatch.setattr(graph, "HOT", 2)
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
     texts = {}
@@ -373,11 +372,10 @@ def test_samples_agree_in_large_sets_of_a_hot_group(shingles):
     assert abs(np.mean(got) - shared / (shared + own)) < 0.04 and min(got) > minhash.LIKELY
 
 
-@pytest.mark.parametrize("hot", [0, 3, 1000])
-def test_attached_rows(spark, hot):
+def test_attached_rows(spark):
     rows = spark.createDataFrame([(k, k * 100 + i) for k in range(6) for i in range(k * 3)], "k bigint, own bigint")
-    per = rows.groupBy("k").agg(F.max("own").alias("top"), F.count("*").alias("n")).filter("k <> 2")
-    got = graph.attach(rows, per, "k", "own", hot).collect()
+    per = rows.groupBy("k").agg(F.max("own").alias("top")).filter("k <> 2")
+    got = graph.attach(rows, per, "k").collect()
     assert sorted(map(tuple, got)) == [(k, k * 100 + i, k * 100 + k * 3 - 1) for k in range(6) if k != 2 for i in range(k * 3)]
 
 
