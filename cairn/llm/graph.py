@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each id's larger neighbours are
     tied to its smallest one, then its smaller neighbours are. Links stay as many as
     ids at most after each round, rounds are about the logarithm of the widest
-    component, and minima are gathered before rows are shuffled and written before they are joined (see attach). Null ends and
+    component, and minima are gathered before rows are shuffled; those of the first step are written before they are joined (see attach). Null ends and
     links of an id to itself tie nothing. No list of links leaves the executors.
     """
     now = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -37,8 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = attach(both.filter(F.col("y") > F.col("x")), least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = durable(large)
-        lowest = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))  # of few rows each: an id has no more centres than it had smaller neighbours
         small = large.join(lowest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
