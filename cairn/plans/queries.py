@@ -472,7 +472,8 @@ def replies_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = line.when(kind == 2, F.concat_ws(" ", F.lit("STORE_CHUNK"), "hash", F.lit("²"))).otherwise("STORE_CHUNK")
     bad = first.select((F.col("page_id") * 2 + 1).alias("seq"), line.alias("line"), F.col("data").alias("body"))
     told, new = protocol.stored(good.unionByName(bad), empty_store(spark))
-    return told.join(F.broadcast(new.agg(F.count("*").alias("added"))))
+    added = new.groupBy(F.lit("all").alias("of")).agg(F.count("*").alias("added"))  # one row
+    return told.withColumn("of", F.lit("all")).join(F.broadcast(added), "of").drop("of")
 
 
 @query(
