@@ -8,7 +8,7 @@ passes, of which texts take part in three:
 1. blocks of documents send their anchors' hashes to buckets; buckets find which occur twice or more
    anywhere, from sums for each sender, and blocks learn which of theirs do;
 2. blocks send the strings of these anchors, each distinct one of a block once, with its first place;
-3. in buckets, the strings of one anchor are put in shards, each shard is transformed, and the shards'
+3. in buckets, the strings of one anchor are put in shards, which hold equal ones once; each shard is transformed, and the shards'
    transforms are merged by refining their interleave: a round takes the rows, in the order of their first d symbols,
    s symbols back by the transform's steps, and deals them out by what they begin with, so they are in order by d + s
    symbols. Where neighbours part, their common prefix follows from those of the round before. Intervals in
@@ -38,9 +38,9 @@ from cairn.llm.features import mixed
 
 GRAM = 32
 HOT_USES = 4096
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 1 << 14
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20, 1 << 15
 #: Rows of a merge, if the strings of one anchor are not more: ranks fit in 16 bits, which sort by counting.
-MERGE_ROWS = 1 << 15
+MERGE_ROWS = 1 << 16
 #: Anchors that a task sends at once, and such sendings whose blocks are answered together.
 FLUSH, FLUSHES = 1_000_000, 64
 #: Bits of a key that hold a gram's place.
@@ -265,15 +265,24 @@ def dealt(own: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return by, own.take(by), then.take(by)
 
 
-def shards_of(strings: list[bytes]) -> list[list[bytes]]:
-    out, size = [[]], 0
-    for x in strings:
-        if size > SHARD_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append(x)
+def shards_of(strings: list[bytes], job: np.ndarray, turn: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, list[int]]:
+    """Shards of a job's strings (numbers, in the order of their senders): the distinct ones of each, the number of the earliest of each, and the numbers of all later copies."""
+    shards, kept, copies, size, known = [], [], [], 0, {}
+    for i in job.tolist():
+        x = strings[i]
+        if size > SHARD_BYTES or not shards:
+            shards.append([])
+            size, known = 0, {}
         size += len(x)
-    return out
+        at = known.setdefault(x, len(kept))
+        if at == len(kept):
+            kept.append(i)
+            shards[-1].append(x)
+        else:
+            first, last = sorted((i, kept[at]), key=turn.__getitem__)
+            kept[at] = first
+            copies.append(last)
+    return shards, np.array(kept, np.int64), copies
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -396,8 +405,11 @@ def resolve(group: pa.Table, width: int) -> pa.Table:
     base = np.cumsum(windows) - windows
     again = np.zeros(int(windows.sum()), bool)
     for job in merges(sizes, anchor):
-        owner, offset, common = merged(shards_of([strings[i] for i in job.tolist()]), width)
-        entry = job[owner]
+        shards, kept, copies = shards_of(strings, job, turn)
+        for i in copies:
+            again[base[i] : base[i] + windows[i]] = True
+        owner, offset, common = merged(shards, width)
+        entry = kept[owner]
         interval = np.cumsum(common < width)
         by = np.lexsort((turn[entry], interval))
         later = by[1:][interval[by[1:]] == interval[by[:-1]]]
