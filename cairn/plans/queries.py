@@ -403,7 +403,7 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = datasets.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.lit(1).alias("version"), datasets.payload("html").alias("data"))
     files.write_payloads(chunking.slices(rows, datasets.CHUNK), folder)
     cut = files.read_slices(spark, folder, datasets.CHUNK).groupBy("path", "name").agg(F.count("*").alias("slices"))
-    return cut.join(files.file_digests(cut), "path").select("name", "n", "hash", "slices")
+    return files.file_digests(cut, "name", "slices").select("name", "n", "hash", "slices")
 
 
 ASKED = """, asked as (select c.conv_id * 1000 + c.turn as seq, cast(c.conv_id as varchar) as name, c.turn::bigint as turn, c.role, (c.conv_id + c.turn) % 8 as kind, ch.hash, ch.d, ch.n

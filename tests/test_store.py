@@ -204,6 +204,27 @@ def test_files_on_disk(spark, tmp_path):
     assert files.digest_of_file(str(folder / "pattern")) == hashlib.sha256(content["pattern"]).hexdigest()
 
 
+def test_small_files_share_a_task_and_large_ones_are_cut(spark, tmp_path):
+    content = {f"f{i}": bytes([i % 256]) * (i % 7 * 500) for i in range(300)}
+    for n, d in content.items():
+        (tmp_path / n).write_bytes(d)
+    cut = files.read_slices(spark, str(tmp_path), 1000)
+    assert cut.rdd.getNumPartitions() == 1
+    found = files.file_digests(cut.groupBy("path", "name").agg(F.count("*").alias("slices")), "name", "slices").collect()
+    assert {r["name"]: (r["n"], r["hash"], r["slices"]) for r in found} == {n: (len(d), hashlib.sha256(d).hexdigest(), max(1, -(-len(d) // 1000))) for n, d in content.items()}
+    (tmp_path / "large").write_bytes(bytes(300_000))
+    parts = files.Reader({"path": str(tmp_path), "chunkSize": "1000", "slicesPerTask": "200"}).partitions()
+    assert 2 < len(parts) < 200 and [(a, b) for p in parts for path, _, a, b in p.runs if path.endswith("large")] == [(0, 200), (200, 300)]
+
+
+def test_many_payloads_are_written_whole(spark, tmp_path):
+    """More than a writer holds open at once."""
+    content = {f"f{i}": bytes([i % 256]) * (i % 5 * 700) for i in range(3 * files.OPEN)}
+    rows = [(n, 1, k, bytearray(d[k * 1000 : (k + 1) * 1000])) for n, d in content.items() for k in range(max(1, -(-len(d) // 1000)))]
+    files.write_payloads(spark.createDataFrame(rows[::-1], "name string, version int, idx bigint, data binary"), str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"{n}.v1": d for n, d in content.items()}
+
+
 def test_meta_text(spark, three):
     text = metatext.lines_of(three.manifests)
     lines = text.select(F.concat_ws("/", "name", F.col("version").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "value"))
