@@ -337,8 +337,9 @@ def protocol_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cut_sql(PAGES) + "select name, version, sha256('name=' || name || chr(10) || 'version=' || version || chr(10) || 'chunks=' || num_chunks || chr(10) || 'size=' || file_size || chr(10) || 'timestamp=' || ts || chr(10) || (select string_agg('hash.' || idx || '=' || hash, chr(10) order by idx) from ch where ch.name = m.name) || chr(10)) as text_digest from m")
 def meta_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each page's manifest. Pages of one name list the chunks of all of them, by place; pages that share a place, which the SQL leaves open, by timestamp."""
     store = datasets.store(datasets.pages(spark, sf_dir))
-    return metatext.lines_of(store.manifests).select("name", "version", F.sha2("text", 256).alias("text_digest"))
+    return metatext.lines_of(metatext.by_name(store.manifests)).select("name", "version", F.sha2("text", 256).alias("text_digest"))
 
 
 @query(cut_sql(PAGES) + "select name, version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m")
