@@ -344,8 +344,10 @@ def meta_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cut_sql(PAGES) + "select name, version, num_chunks, file_size, ts as timestamp, sha256(list) as list_digest from m")
 def meta_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's manifest, read from its text: pages may share name and version, so a text's path has its timestamp too."""
     text = metatext.lines_of(datasets.store(datasets.pages(spark, sf_dir)).manifests)
-    lines = text.select(F.col("name").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+    path = F.concat_ws("/", "name", F.col("version").cast("string"), F.col("timestamp").cast("string"))
+    lines = text.select(path.alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "value"))
     return listed(metatext.parsed(lines))
 
 

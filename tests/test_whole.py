@@ -41,3 +41,11 @@ def test_meta_export_lists_all_chunks_of_a_name(spark, same_name):
         head = [f"name={url}", "version=1", f"chunks={-(-len(html) // 1024)}", f"size={len(html)}", f"timestamp={queries.STAMP + page}"]
         want.append((url, 1, sha("\n".join([*head, *[f"hash.{i}={h}" for i, _, h in chunks]]) + "\n")))
     assert sorted(map(tuple, queries.meta_export(spark, same_name).collect())) == sorted(want)
+
+
+def test_meta_import_keeps_manifests_of_one_name_apart(spark, same_name):
+    want = []
+    for page, url, html in SAME_NAME:
+        chunks = [sha(html[i : i + 1024]) for i in range(0, len(html), 1024)]
+        want.append((url, 1, len(chunks), len(html), queries.STAMP + page, sha(",".join(chunks))))
+    assert sorted(map(tuple, queries.meta_import(spark, same_name).collect())) == sorted(want)
