@@ -55,18 +55,18 @@ def manifests_of(cut: DataFrame) -> DataFrame:
     return cut.groupBy("name", "version", "timestamp").agg(F.count("*").alias("num_chunks"), F.sum("n").alias("file_size"), ordered.alias("chunk_hashes")).select("name", "version", "num_chunks", "file_size", "timestamp", "chunk_hashes")
 
 
-def manifest_chunks(manifests: DataFrame) -> DataFrame:
-    """name, version, idx, hash: the list of each manifest, unrolled."""
-    return manifests.select("name", "version", F.posexplode("chunk_hashes").alias("idx", "hash")).withColumn("idx", F.col("idx").cast("bigint"))
+def manifest_chunks(manifests: DataFrame, *others: str) -> DataFrame:
+    """name, version, others, idx, hash: the list of each manifest, unrolled; others are columns of manifests to keep."""
+    return manifests.select("name", "version", *others, F.posexplode("chunk_hashes").alias("idx", "hash")).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def reassembled(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     """name, version, data: the chunks of each list, end to end, as bytes; only lists whose chunks are all there.
 
-    Each value is one payload and has to fit in a row; payloads beyond that are
+    More columns of lists (a timestamp, say) tell lists of one name and version apart, and stay. Each value is one payload and has to fit in a row; payloads beyond that are
     written slice by slice (sources.files.write_payloads).
     """
-    wanted = lists.groupBy("name", "version").agg(F.count("*").alias("wanted"))
-    found = lists.join(chunks.select("hash", "data"), "hash")
-    whole = found.groupBy("name", "version").agg(F.count("*").alias("found"), F.expr("listagg(data, X'') within group (order by idx)").alias("data"))
-    return whole.join(wanted, ["name", "version"]).filter(F.col("found") == F.col("wanted")).select("name", "version", "data")
+    by = [c for c in lists.columns if c not in ("idx", "hash")]
+    found = lists.join(chunks.select("hash", "data", F.lit(True).alias("there")), "hash", "left")
+    whole = found.groupBy(*by).agg(F.count("*").alias("wanted"), F.count("there").alias("found"), F.expr("listagg(data, X'') within group (order by idx)").alias("data"))
+    return whole.filter(F.col("found") == F.col("wanted")).select(*by, "data")

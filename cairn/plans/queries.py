@@ -240,8 +240,9 @@ def first_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select name, version, octet_length(bb)::bigint as n_bytes, sha256(bb) as hash from ({PAGES})")
 def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page put together again; pages that share name and version are told apart by timestamp."""
     store = datasets.store(datasets.pages(spark, sf_dir))
-    whole = chunking.reassembled(chunking.manifest_chunks(store.manifests), store.chunks)
+    whole = chunking.reassembled(chunking.manifest_chunks(store.manifests, "timestamp"), store.chunks)
     return whole.select("name", "version", F.octet_length("data").cast("bigint").alias("n_bytes"), scalars.digest(F.col("data")).alias("hash"))
 
 

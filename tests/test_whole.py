@@ -49,3 +49,8 @@ def test_meta_import_keeps_manifests_of_one_name_apart(spark, same_name):
         chunks = [sha(html[i : i + 1024]) for i in range(0, len(html), 1024)]
         want.append((url, 1, len(chunks), len(html), queries.STAMP + page, sha(",".join(chunks))))
     assert sorted(map(tuple, queries.meta_import(spark, same_name).collect())) == sorted(want)
+
+
+def test_reassemble_keeps_pages_of_one_name_apart(spark, same_name):
+    want = [(url, 1, len(html), sha(html)) for _, url, html in SAME_NAME]
+    assert sorted(map(tuple, queries.reassemble(spark, same_name).collect())) == sorted(want)
